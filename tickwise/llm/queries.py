@@ -36,6 +36,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.score(docs, model), toxicity.held_out)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "distance")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -50,12 +57,21 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import digest, remove_repeats
+
+    found = remove_repeats(table(spark, sf_dir, "documents"), finish=digest)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_sharding": op2_sharding,
     "op3_toxicity": op3_toxicity,
+    "op4_decontaminate": op4_decontaminate,
     "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
+    "op10_substrings": op10_substrings,
 }
 
 def oracles() -> dict[str, str]:
