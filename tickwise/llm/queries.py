@@ -57,6 +57,13 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokens import count_edits, sample_edits
+
+    found = count_edits(table(spark, sf_dir, "documents"), sample_edits())
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_k
 
@@ -88,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
+    "op7_tokens": op7_tokens,
     "op8_topk": op8_topk,
     "op9_chat": op9_chat,
     "op10_substrings": op10_substrings,
