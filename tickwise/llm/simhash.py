@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tickwise.plans.shared import materialize
 
@@ -199,13 +199,10 @@ def allocate(costs: np.ndarray, total: int, slack: int = 8) -> np.ndarray:
 def signatures(reps: DataFrame, parts: list[list[int]], shares: list[list[np.ndarray]], n: int, tau: int, most: int) -> tuple[DataFrame, DataFrame]:
     """The index rows (part value of each fingerprint) and the probe rows (allocated balls): key, rep, fp."""
     balls = [[_masks(len(p), r) for r in range(most + 1)] for p in parts]
-    schema = pa.schema([("key", pa.int64()), ("rep", pa.int64()), ("fp", pa.list_(pa.int64()) if len(parts) > 3 else pa.int64())])
-    wide = len(parts) > 3
-    ddl = "key long, rep long" if wide else "key long, rep long, fp long"
+    ddl = "key long, rep long, fp long"
 
     def emit(key: np.ndarray, rep: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        cols = [key, rep] if wide else [key, rep, fp]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "rep", "fp"][: len(cols)])
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(rep), pa.array(fp)], names=["key", "rep", "fp"])
 
     def chunks(batches: Iterator[pa.RecordBatch]):
         for b in batches:
@@ -278,3 +275,59 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = connected_components(found)
     named = reps.join(parts, reps["rep"] == parts["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, "fp").select("id", "fp", "component_id")
+
+
+#: Words of a wide fingerprint, and the share of differing bits (of the words that either text fills) up to which
+#: two texts are near: at a Jaccard similarity of 0.8 over their shingles the expected share is 0.15.
+WIDE, NEAR = 16, 0.165
+
+
+def wide_links(reps: DataFrame, near: float = NEAR) -> DataFrame:
+    """Edges (a, b) between fingerprints of several words whose share of differing bits is at most ``near``.
+
+    Here 3 parts a word at threshold zero are probed, the allocation that the pigeonhole sum gives for a tau of
+    parts - 1: pairs within that many bits always meet, and of those further apart nearly all do, as each of
+    the parts is another chance. In a bucket, ordered by the whole word, a fingerprint is compared with the two before
+    it and with the first, so a group of near copies gives rows in proportion to its size and holds together
+    through these. Words that no shingle was dealt to are not probed.
+    """
+    groups = bit_groups(reps, 3)
+
+    def index(batches):
+        for b in batches:
+            for a in range(0, b.num_rows, 2048):
+                c = b.slice(a, 2048)
+                rep, fp = c.column(0).to_numpy(), np.array(c.column(1).to_pylist(), np.int64)
+                for w in range(fp.shape[1]):
+                    some = np.flatnonzero(fp[:, w])
+                    bits = _bits(fp[some, w : w + 1])
+                    for i, part in enumerate(groups):
+                        yield pa.RecordBatch.from_arrays([pa.array(((3 * w + i) << 32) | _value(bits[:, part])), pa.array(fp[some, w]), pa.array(rep[some])], names=["key", "word", "rep"])
+
+    rows = reps.select("rep", "fp").mapInArrow(index, "key long, word long, rep long")
+    bucket = W.partitionBy("key").orderBy("word", "rep")
+    met = rows.select("rep", F.array_distinct(F.array(F.lag("rep", 1).over(bucket), F.lag("rep", 2).over(bucket), F.first("rep").over(bucket))).alias("others"))
+    pairs = met.where(F.size("others") > 1).select("rep", F.explode("others").alias("other")).where("other is not null and other <> rep")
+    pairs = pairs.select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).distinct()
+    left, right = reps.select(F.col("rep").alias("a"), F.col("fp").alias("x")), reps.select(F.col("rep").alias("b"), F.col("fp").alias("y"))
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    filled = F.aggregate(F.zip_with("x", "y", lambda x, y: F.when((x != 0) | (y != 0), 64).otherwise(0)), F.lit(0), lambda s, n: s + n)
+    return pairs.join(left, "a").join(right, "b").where(apart <= F.lit(near) * filled).select("a", "b")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = WIDE, near: float = NEAR) -> DataFrame:
+    """(id, component_id) of every row with an id, by wide fingerprints; the component is its smallest id.
+
+    Texts with equal fingerprints, texts without words among them, are copies. Repeated ids keep their rows.
+    """
+    fps = materialize(fingerprints(docs, id_col, text_col, shingle, words).where("id is not null"))
+    reps = materialize(fps.groupBy("fp").agg(F.min("id").alias("rep")))
+    parts = connected_components(wide_links(reps, near))
+    named = reps.join(parts, reps["rep"] == parts["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(named, "fp").select("id", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = WIDE, near: float = NEAR) -> DataFrame:
+    """The rows of ``docs`` but for near copies of a smaller id, columns as they are. Rows without an id stay."""
+    gone = near_copies(docs, id_col, text_col, shingle, words, near).where("id <> component_id").select(F.col("id").alias("__gone")).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
