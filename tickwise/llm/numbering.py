@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Rows that a block should hold; the number of blocks, not their size, grows with the data.
-BLOCK_ROWS = 50_000
+BLOCK_ROWS = 8_000
 
 
 def running(df: DataFrame, group: str, order: Column, value: Column, out: str, rows: int, ties: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
