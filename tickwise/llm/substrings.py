@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickwise.plans.shared import materialize
+from tickwise.plans.shared import Shared, materialize
 
 from .common import map_columns, text_bytes
 
@@ -151,8 +151,11 @@ def _copies(source: DataFrame) -> DataFrame:
     return hashed.join(first, "md5").where("id > first").select("id").distinct()
 
 
-def _repeated_anchors(source: DataFrame, copies: DataFrame, length: int, gram: int) -> DataFrame:
-    """(id, anchors): for each document that is no copy, its anchors that other texts have too, or that it has twice."""
+def _repeated_anchors(source: DataFrame, copies: DataFrame, length: int, gram: int) -> tuple[DataFrame, Shared]:
+    """(id, anchors): for each document that is no copy, its anchors that other texts have too, or that it has twice.
+
+    With the table of all anchors, which can go once this has been read.
+    """
 
     def anchors(batches):
         hashes = WordHashes()
@@ -163,10 +166,11 @@ def _repeated_anchors(source: DataFrame, copies: DataFrame, length: int, gram: i
                     text = xxhash.xxh3_64_intdigest(t) - (1 << 63)
                     yield {"anchor": own, "id": np.full(len(own), i), "text": np.full(len(own), text), "n": n.astype(np.int32)}
 
-    found = materialize(map_columns(source, anchors, "anchor long, id long, text long, n int"))
+    held = Shared(map_columns(source, anchors, "anchor long, id long, text long, n int"))
+    found = held.df
     spread = found.groupBy("anchor").agg(F.min("text").alias("a"), F.max("text").alias("b"), F.max("n").alias("n"))
     met = found.join(spread.where("a <> b or n > 1").select("anchor"), "anchor")
-    return met.groupBy("id").agg(F.collect_set("anchor").alias("anchors")).join(copies, "id", "left_anti")
+    return met.groupBy("id").agg(F.collect_set("anchor").alias("anchors")).join(copies, "id", "left_anti"), held
 
 
 def _pieces(suspects: DataFrame, length: int, gram: int) -> DataFrame:
@@ -273,7 +277,7 @@ def remove_repeats(docs: DataFrame, length: int = 20, gram: int = GRAM, id_col:
     source = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("t"))
     known = source.where("id is not null")
     copies = materialize(_copies(known))
-    wanted = _repeated_anchors(known, copies, length, gram)
+    wanted, anchors = _repeated_anchors(known, copies, length, gram)
     marked = copies.select("id", F.array().cast("array<long>").alias("anchors"), F.lit(True).alias("copy")).unionByName(wanted.withColumn("copy", F.lit(False)))
     joined = source.join(marked.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"), "left").select("id", "t", "anchors", F.coalesce("copy", F.lit(False)).alias("copy"))
 
@@ -281,11 +285,11 @@ def remove_repeats(docs: DataFrame, length: int = 20, gram: int = GRAM, id_col:
         """Documents that nothing can be removed from, or all, are done; the others keep their text."""
         for b in batches:
             out: dict[str, list] = {k: [] for k in ("id", "t", "anchors", "n_words", "n_removed", "kept")}
-            for i, t, anchors, copy in zip(b["id"], b["t"], b["anchors"], b["copy"]):
+            for i, t, repeated, copy in zip(b["id"], b["t"], b["anchors"], b["copy"]):
                 words = t.split()
                 n = len(words)
-                if anchors:
-                    row = (i, t, anchors, n, None, None)
+                if repeated:
+                    row = (i, t, repeated, n, None, None)
                 else:
                     gone = n if copy and n >= length else 0
                     row = (i, None, None, n, gone, finish(b"" if gone else b" ".join(words)))
@@ -294,6 +298,7 @@ def remove_repeats(docs: DataFrame, length: int = 20, gram: int = GRAM, id_col:
             yield out
 
     sorted_out = materialize(map_columns(joined, sort_out, "id long, t binary, anchors array<long>, n_words long, n_removed long, kept string"))
+    anchors.drop()
     suspects = sorted_out.where("t is not null")
     gone = repeated_windows(suspects, length, gram).groupBy("id").agg(F.collect_list(F.struct("first", "count")).alias("gone"))
     cut = suspects.select("id", "t").join(gone.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"), "left").select("id", "t", F.col("gone.first").alias("first"), F.col("gone.count").alias("count"))
