@@ -119,9 +119,9 @@ def _weighted_quantiles(rows: DataFrame, lo: list[int], hi: list[int], goal: lis
         for j in range(n):
             if not open_[j]:
                 continue
-            at, prior = below[j], None
-            for r in sorted(by[j], key=lambda r: r["cell"]):
-                if at + r["w"] >= goal[j] or r is by[j][-1] and prior is None:
+            at, prior, ordered = below[j], None, sorted(by[j], key=lambda r: r["cell"])
+            for r in ordered:
+                if at + r["w"] >= goal[j] or r is ordered[-1]:
                     break
                 at += r["w"]
                 prior = r["hi"]
