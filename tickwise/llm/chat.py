@@ -22,7 +22,7 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 #: Strings that some chat template takes for control, escaped inside texts. None has a backslash or n second.
 CONTROL = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 #: Characters of distinct conversations in a pack; a larger tree is dealt to several packs, each with the shared turns once.
-PACK = 4_000_000
+PACK = 400_000
 
 _CONTROL = re.compile(r"\\|" + "|".join(map(re.escape, CONTROL)))
 _TURN = re.compile(re.escape(OPEN) + r"([^\n]*)\n(.*?)" + re.escape(CLOSE), re.S)
