@@ -123,11 +123,11 @@ def _recursion(group: list[str], rules: list[Rule], relations: dict[str, Relatio
         for h, rows in fresh.items():
             if relations[h].lattice:
                 held = Shared(merged(relations[h], whole(h).unionByName(rows)))
-                following[h] = Shared(held.df.exceptAll(whole(h))).df
+                following[h] = Shared(held.df.subtract(whole(h))).df
                 if not following[h].isEmpty():
                     parts[h] = [held]
             else:
-                added = Shared(rows.distinct().exceptAll(whole(h)))
+                added = Shared(rows.subtract(whole(h)))
                 following[h] = added.df
                 if not added.df.isEmpty():
                     parts[h].append(added)
