@@ -97,3 +97,112 @@ def route(key: Column, members: list[str]) -> Column:
 
 def majority(votes: Column, members: Column) -> Column:
     return F.size(F.array_intersect(votes, members)) * 2 > F.size(members)
+
+
+def int_bytes(x: Column, width: int) -> Column:
+    """``width`` bytes, big-endian; a negative number in two's complement. Null if it does not fit signed or unsigned."""
+    low, high = (-(1 << 8 * width - 1), (1 << 8 * width) - 1) if width < 8 else (None, None)
+    digits = F.unhex(F.right(F.lpad(F.hex(x.cast("bigint")), 16, "0"), F.lit(2 * width)))
+    return digits if low is None else F.when(x.between(low, high), digits)
+
+
+def int_at(data: Column, at: Column, width: int, signed: bool = False) -> Column:
+    """The big-endian number of ``width`` bytes at byte ``at`` (from 0); null past the end. Eight unsigned bytes wrap to a long."""
+    part = F.substring(data, at.cast("int") + 1, F.lit(width))
+    value = F.conv(F.hex(part), 16, 10).cast("decimal(20,0)")
+    half, whole = F.lit(str(1 << 8 * width - 1)).cast("decimal(20,0)"), F.lit(str(1 << 8 * width)).cast("decimal(21,0)")
+    wrapped = F.when(value >= half, value - whole).otherwise(value) if signed or width == 8 else value
+    return F.when((at >= 0) & (F.length(part) == width), wrapped.cast("bigint"))
+
+
+def put_int(data: Column, at: Column, x: Column, width: int) -> Column:
+    """``data`` with the number's bytes at byte ``at``; null if they reach past the end."""
+    fits = (at >= 0) & (at + width <= F.length(data))
+    return F.when(fits, F.concat(F.substring(data, F.lit(1), at.cast("int")), int_bytes(x, width), F.substring(data, at.cast("int") + width + 1, F.length(data))))
+
+
+def uvarint(x: Column) -> Column:
+    """Seven bits a byte, low bits first, the high bit set on all bytes but the last. A long counts as unsigned."""
+    x = x.cast("bigint")
+    size = F.greatest(F.ceil(F.length(F.bin(x)) / 7), F.lit(1)).cast("int")
+    byte = lambda i: F.call_function("shiftrightunsigned", x, i * 7).bitwiseAND(F.lit(127).cast("bigint")) + F.when(i < size - 1, 128).otherwise(0)
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.lpad(F.hex(byte(i)), 2, "0")), ""))
+
+
+def uvarint_at(data: Column, at: Column) -> Column:
+    """(value, next position) of the number at byte ``at``; null if it is cut off, longer than ten bytes or over 64 bits."""
+    part = F.hex(F.substring(data, at.cast("int") + 1, F.lit(10)))
+    items = F.transform(F.sequence(F.lit(0), F.greatest(F.length(part) / 2 - 1, F.lit(0)).cast("int")), lambda i: F.conv(F.substring(part, i * 2 + 1, F.lit(2)), 16, 10).cast("bigint"))
+    size = F.array_position(F.transform(items, lambda b: b < 128), True).cast("int")
+    value = F.aggregate(F.slice(items, F.lit(1), F.greatest(size, F.lit(1))), F.struct(F.lit(0).cast("bigint").alias("v"), F.lit(0).alias("s")), lambda a, b: F.struct(a["v"].bitwiseOR(F.call_function("shiftleft", b.bitwiseAND(F.lit(127).cast("bigint")), a["s"])).alias("v"), (a["s"] + 7).alias("s")), lambda a: a["v"])
+    whole = (at >= 0) & (at < F.length(data)) & (size > 0) & ((size < 10) | (F.get(items, F.lit(9)) <= 1))
+    return F.when(whole, F.struct(value.alias("value"), (at.cast("bigint") + size).alias("next")))
+
+
+def varint(x: Column) -> Column:
+    """A signed number as ``uvarint``, zigzag: 0, -1, 1, -2 as 0, 1, 2, 3."""
+    x = x.cast("bigint")
+    return uvarint(F.shiftleft(x, 1).bitwiseXOR(F.shiftright(x, 63)))
+
+
+def varint_at(data: Column, at: Column) -> Column:
+    got = uvarint_at(data, at)
+    n = got["value"]
+    signed = F.shiftrightunsigned(n, 1).bitwiseXOR(-n.bitwiseAND(F.lit(1).cast("bigint")))
+    return F.when(got.isNotNull(), F.struct(signed.alias("value"), got["next"].alias("next")))
+
+
+def parse_u64(text: Column) -> Column:
+    """A whole number in decimal digits, up to a long, or null."""
+    return F.when(F.regexp_like(text, F.lit(r"^[+]?[0-9]+$")), text.try_cast("bigint"))
+
+
+def words(text: Column) -> Column:
+    """Split at Unicode white space, no empty words."""
+    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+
+
+def trim(text: Column) -> Column:
+    """Without Unicode white space at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def map_insert(m: Column, key: Column, value: Column) -> Column:
+    return F.map_concat(map_remove(m, key), F.create_map(key, value))
+
+
+def map_remove(m: Column, key: Column) -> Column:
+    return F.map_filter(m, lambda k, _: k != key)
+
+
+def map_entries(m: Column) -> Column:
+    """(key, value) pairs in key order."""
+    return F.array_sort(F.map_entries(m))
+
+
+def to_map(pairs: Column) -> Column:
+    """A map of pairs (key, value); of those with one key the last wins."""
+    distinct = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+    return F.map_from_entries(distinct)
+
+
+def scan_while(v: Column, init: Column, step, kind: str) -> Column:
+    """All accumulators of a fold up to the first step that gives null."""
+    start = F.struct(init.alias("acc"), F.array().cast(f"array<{kind}>").alias("all"), F.lit(False).alias("done"))
+
+    def go(s: Column, x: Column) -> Column:
+        new = step(s["acc"], x)
+        stop = s["done"] | new.isNull()
+        return F.struct(F.when(stop, s["acc"]).otherwise(new).alias("acc"), F.when(stop, s["all"]).otherwise(F.array_append(s["all"], new)).alias("all"), stop.alias("done"))
+
+    return F.aggregate(v, start, go, lambda s: s["all"])
+
+
+def bytes_slice(data: Column, lo: Column, hi: Column) -> Column:
+    """Bytes lo .. hi - 1, or null if that is not inside the data."""
+    return F.when((lo >= 0) & (lo <= hi) & (hi <= F.length(data)), F.substring(data, lo.cast("int") + 1, (hi - lo).cast("int")))
+
+
+def from_utf8(data: Column) -> Column:
+    """The text of valid UTF-8, or null."""
+    return F.try_validate_utf8(data.cast("string"))

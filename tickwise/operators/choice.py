@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickwise.plans.shared import materialize
+
 
 def _order(rows: DataFrame, by: list[Column]) -> list[Column]:
     return [*by, *[F.col(c).asc_nulls_first() for c in rows.columns]]
@@ -30,6 +34,22 @@ def choose(rows: DataFrame, per: tuple[str, ...], seed: int = 0) -> DataFrame:
     return top(rows, 1, per, [F.xxhash64(F.lit(seed), *[F.col(c) for c in rows.columns])])
 
 
+def choose_fresh(rows: DataFrame, per: tuple[str, ...], node: str, incarnation: int, tick: int, seed: int = 0) -> DataFrame:
+    """One row per group, drawn anew for each node, incarnation and tick; the same draw gives the same row."""
+    return top(rows, 1, per, [F.xxhash64(F.lit(seed), F.lit(node), F.lit(incarnation), F.lit(tick), *[F.col(c) for c in rows.columns])])
+
+
+def prefer(writes: list[DataFrame], key: tuple[str, ...], unlisted: DataFrame | None = None) -> DataFrame:
+    """Writer precedence: of the writes to a key those of the earliest writer listed. Those of a writer not listed stay.
+
+    Survivors that still differ are the table's conflict to report.
+    """
+    ranked = reduce(DataFrame.unionByName, [w.withColumn("__rank", F.lit(i)) for i, w in enumerate(writes)])
+    best = ranked.groupBy(*key).agg(F.min("__rank").alias("__rank"))
+    kept = ranked.join(best, [*key, "__rank"], "left_semi").drop("__rank").distinct()
+    return kept if unlisted is None else kept.unionByName(unlisted).distinct()
+
+
 def choose_best(rows: DataFrame, per: tuple[str, ...], cost: Column, most: bool = False) -> DataFrame:
     """One row per group of least (or most) cost, ties by the canonical order."""
     return top(rows, 1, per, [cost.desc() if most else cost.asc()])
@@ -44,17 +64,20 @@ def choose_sticky(rows: DataFrame, held: DataFrame, per: tuple[str, ...], by: li
 
 
 def index(rows: DataFrame, by: list[Column], name: str = "index", per: tuple[str, ...] = ()) -> DataFrame:
-    """Numbers the distinct rows from 0. With no group the numbers come from a range sort and a count per partition."""
+    """Numbers the distinct rows from 0, in each group of ``per`` if given.
+
+    A range sort deals the rows, so no group is numbered by one task: each part counts its rows of each group, and a part's
+    numbers start where those of the group's earlier parts end. The dealt rows are written, so both passes see the same parts.
+    """
     distinct = rows.distinct()
-    if per:
-        n = F.row_number().over(W.partitionBy(*per).orderBy(*_order(distinct, by)))
-        return distinct.withColumn(name, n.cast("long") - 1)
-    placed = distinct.repartitionByRange(*_order(distinct, by)).withColumn("__part", F.spark_partition_id())
-    inside = F.row_number().over(W.partitionBy("__part").orderBy(*_order(distinct, by)))
-    sizes = placed.groupBy("__part").count()
-    before = F.coalesce(F.sum("count").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.withColumn("__before", before).drop("count")
-    return placed.withColumn("__in", inside).join(starts, "__part").withColumn(name, F.col("__before") + F.col("__in") - 1).drop("__part", "__in", "__before")
+    order = [*[F.col(c).asc_nulls_first() for c in per], *_order(distinct, by)]
+    placed = materialize(distinct.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    inside = F.row_number().over(W.partitionBy("__part", *per).orderBy(*order))
+    before = F.coalesce(F.sum("count").over(W.partitionBy(*per).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = placed.groupBy("__part", *per).count().withColumn("__before", before).drop("count")
+    starts = starts.select(F.col("__part").alias("__of"), "__before", *[F.col(c).alias(f"__of_{c}") for c in per])
+    on = reduce(Column.__and__, [F.col("__part") == F.col("__of"), *[F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in per]])
+    return placed.withColumn("__in", inside).join(starts, on).select(*rows.columns, (F.col("__before") + F.col("__in") - 1).alias(name))
 
 
 def number_new(rows: DataFrame, assigned: DataFrame, by: list[Column], name: str = "seq") -> DataFrame:
@@ -72,6 +95,19 @@ def fold(rows: DataFrame, per: tuple[str, ...], by: list[str], init: Column, ste
     return rows.groupBy(*per).agg(items.alias("__items")).select(*per, F.aggregate("__items", init, step).alias(name))
 
 
+def user_aggregate(rows: DataFrame, per: tuple[str, ...], init: Column, step, combine, finish, name: str, parts: int = 32) -> DataFrame:
+    """A user's aggregate of init, step, combine and finish, for steps that may go in any order.
+
+    Each group is dealt over ``parts`` by a hash of the row and stepped there; only the parts' states meet. A large group
+    thus costs a ``parts``-th of itself in one place; raise ``parts`` with the largest group.
+    """
+    items = [c for c in rows.columns if c not in per]
+    dealt = rows.withColumn("__part", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(parts)))
+    stepped = dealt.groupBy(*per, "__part").agg(F.aggregate(F.collect_list(F.struct(*items)), init, step).alias("__state"))
+    joined = stepped.groupBy(*per).agg(F.aggregate(F.collect_list("__state"), init, combine).alias("__state"))
+    return joined.select(*per, finish(F.col("__state")).alias(name))
+
+
 def weights(rows: DataFrame, weight: str = "weight") -> DataFrame:
     """Z-set weights summed per row; zero drops out."""
     cols = [c for c in rows.columns if c != weight]
