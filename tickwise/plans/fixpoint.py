@@ -48,19 +48,41 @@ def strata(rules: list[Rule]) -> list[list[str]]:
     return out
 
 
+def _joins(relation: Relation) -> dict:
+    """How each kind of lattice column merges; nulls, the bottom, take no part."""
+    point = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.when(F.min(c).isNotNull(), F.raise_error(F.lit(f"two values for one key of {relation.name}"))))
+    return {"min": F.min, "max": F.max, "or": F.bool_or, "and": F.bool_and, "set": lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))), "point": point}
+
+
 def merged(relation: Relation, rows: DataFrame) -> DataFrame:
     """One row per key: each lattice column is the join of all its values; values at the bottom (null) drop out."""
-    join = {
-        "min": F.min, "max": F.max, "or": F.bool_or, "and": F.bool_and,
-        "set": lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))),
-        "point": lambda c: F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.raise_error(F.lit(f"two values for one key of {relation.name}"))),
-    }
-    out = rows.groupBy(*relation.key).agg(*[join[kind](c).alias(c) for c, kind in relation.lattice.items()]) if relation.key else rows.agg(*[join[kind](c).alias(c) for c, kind in relation.lattice.items()])
+    join = _joins(relation)
+    out = rows.groupBy(*relation.key).agg(*[join[kind](F.col(c)).alias(c) for c, kind in relation.lattice.items()])
     for c in relation.lattice:
         out = out.where(F.col(c).isNotNull())
     return out.select(*relation.columns)
 
 
+def _improved(relation: Relation, held: DataFrame, rows: DataFrame) -> DataFrame:
+    """``merged`` over both, with ``__changed``: whether the key is new or its cell grew. One aggregate tells both."""
+    join = _joins(relation)
+    both = held.withColumn("__known", F.lit(True)).unionByName(rows.withColumn("__known", F.lit(False)))
+    cells = [(c, join[kind]) for c, kind in relation.lattice.items()]
+    out = both.groupBy(*relation.key).agg(*[f(F.col(c)).alias(c) for c, f in cells], *[f(F.when(F.col("__known"), F.col(c))).alias(f"__was_{c}") for c, f in cells], F.bool_or("__known").alias("__had"))
+    for c in relation.lattice:
+        out = out.where(F.col(c).isNotNull())
+    same = F.col("__had")
+    for c in relation.lattice:
+        same = same & F.col(c).eqNullSafe(F.col(f"__was_{c}"))
+    return out.select(*relation.columns, (~same).alias("__changed"))
+
+
+def _unknown(held: DataFrame, rows: DataFrame) -> DataFrame:
+    """The distinct rows that ``held`` lacks. One aggregate over both: copies fall away before the shuffle, and nulls are equal."""
+    both = held.withColumn("__known", F.lit(True)).unionByName(rows.withColumn("__known", F.lit(False)))
+    return both.groupBy(*rows.columns).agg(F.bool_or("__known").alias("__known")).where("not __known").drop("__known")
+
+
 def evaluate(rules: list[Rule], relations: list[Relation], base: dict[str, DataFrame], max_rounds: int = 200) -> dict[str, DataFrame]:
     """All heads' rows. ``base`` holds the relations that no rule derives; a base relation may also be a head."""
     env = dict(base)
@@ -84,25 +106,25 @@ def _recursion(group: list[str], rules: list[Rule], relations: dict[str, Relatio
     for r in rules:
         if not any(isinstance(x, Atom) and x.rel in group for x in r.body):
             starts[r.head].append(head_frame(r, relations[r.head], bindings(r.body, env)))
-    parts: dict[str, list[Shared]] = {}
+    parts: dict[str, list[DataFrame]] = {}
     delta: dict[str, DataFrame] = {}
     for h in group:
         if not starts[h]:
             continue
         rows = reduce(DataFrame.unionByName, starts[h])
-        parts[h] = [Shared(merged(relations[h], rows) if relations[h].lattice else rows.distinct())]
-        delta[h] = parts[h][0].df
+        parts[h] = [Shared(merged(relations[h], rows) if relations[h].lattice else rows.distinct()).df]
+        delta[h] = parts[h][0]
     if set(delta) != set(group):
         # a head with no rows of its own yet: empty, in the shape that its first rule gives over what is there
         for h in [x for x in group if x not in delta]:
             r = next((r for r in rules if r.head == h and all(not isinstance(x, Atom) or x.rel in env or x.rel in delta for x in r.body)), None)
             if r is None:
                 raise ValueError(f"cannot tell the columns' types of {h}; give it a base, perhaps empty")
-            parts[h] = [Shared(head_frame(r, relations[h], bindings(r.body, env | delta)).limit(0))]
-            delta[h] = parts[h][0].df
+            parts[h] = [Shared(head_frame(r, relations[h], bindings(r.body, env | delta)).limit(0)).df]
+            delta[h] = parts[h][0]
 
     def whole(h: str) -> DataFrame:
-        return reduce(DataFrame.unionByName, [p.df for p in parts[h]])
+        return reduce(DataFrame.unionByName, parts[h])
 
     live = {h for h in group if not delta[h].isEmpty()}
     rounds = 0
@@ -119,22 +141,21 @@ def _recursion(group: list[str], rules: list[Rule], relations: dict[str, Relatio
             ]
             if derived:
                 fresh[h] = reduce(DataFrame.unionByName, derived)
-        following: dict[str, DataFrame] = {}
+        delta = {}
         for h, rows in fresh.items():
             if relations[h].lattice:
-                held = Shared(merged(relations[h], whole(h).unionByName(rows)))
-                following[h] = Shared(held.df.subtract(whole(h))).df
-                if not following[h].isEmpty():
-                    parts[h] = [held]
+                held = Shared(_improved(relations[h], whole(h), rows))
+                changed = held.df.where("__changed").drop("__changed")
+                if not changed.isEmpty():
+                    parts[h], delta[h] = [held.df.drop("__changed")], changed
             else:
-                added = Shared(rows.subtract(whole(h)))
-                following[h] = added.df
-                if not added.df.isEmpty():
+                added = Shared(_unknown(whole(h), rows)).df
+                if not added.isEmpty():
                     parts[h].append(added)
+                    delta[h] = added
                     if len(parts[h]) > COMPACT:
-                        parts[h] = [Shared(whole(h))]
-        live = {h for h in following if not following[h].isEmpty()}
-        delta = {h: following[h] for h in live}
+                        parts[h] = [Shared(whole(h)).df]
+        live = set(delta)
     return {h: whole(h) for h in group}
 
 
