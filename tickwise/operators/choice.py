@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickwise.plans.shared import materialize
+from .parts import carried, dealt
 
 
 def _order(rows: DataFrame, by: list[Column]) -> list[Column]:
@@ -71,13 +71,9 @@ def index(rows: DataFrame, by: list[Column], name: str = "index", per: tuple[str
     """
     distinct = rows.distinct()
     order = [*[F.col(c).asc_nulls_first() for c in per], *_order(distinct, by)]
-    placed = materialize(distinct.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    placed = carried(dealt(distinct, order), per, F.count("*"), F.sum("__edge"), "__before")
     inside = F.row_number().over(W.partitionBy("__part", *per).orderBy(*order))
-    before = F.coalesce(F.sum("count").over(W.partitionBy(*per).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = placed.groupBy("__part", *per).count().withColumn("__before", before).drop("count")
-    starts = starts.select(F.col("__part").alias("__of"), "__before", *[F.col(c).alias(f"__of_{c}") for c in per])
-    on = reduce(Column.__and__, [F.col("__part") == F.col("__of"), *[F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in per]])
-    return placed.withColumn("__in", inside).join(starts, on).select(*rows.columns, (F.col("__before") + F.col("__in") - 1).alias(name))
+    return placed.select(*rows.columns, (F.coalesce("__before", F.lit(0)) + inside - 1).alias(name))
 
 
 def number_new(rows: DataFrame, assigned: DataFrame, by: list[Column], name: str = "seq") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .parts import carried, dealt
+
 
 def range_join(points: DataFrame, value: str, ranges: DataFrame, low: str, high: str, width: int, on: tuple[str, ...] = ()) -> DataFrame:
     """Rows of both sides with low <= value <= high, and equal ``on`` columns: an equi-join on slices of ``width``.
@@ -22,15 +24,16 @@ def range_join(points: DataFrame, value: str, ranges: DataFrame, low: str, high:
 def asof_join(left: DataFrame, right: DataFrame, on: tuple[str, ...], at: str, payload: tuple[str, ...], prefix: str = "last_") -> DataFrame:
     """Each left row with the latest right row of the same key at or before its time; null if there is none.
 
-    One sort of both sides together per key instead of a join: ``last`` over the rows so far carries the payload, so rows
-    never multiply. At equal times the right row counts; of right rows with one time, the one with the largest payload.
+    One sort of both sides together instead of a join: ``last`` over the rows so far carries the payload, so rows never
+    multiply. A key's rows may lie in many parts, each of which starts from the latest right row of those before. At equal times the right row counts; of right rows with one time, the one with the largest payload.
     """
     row = F.struct(*[F.col(c) for c in (at, *payload)])
     a = left.withColumn("__right", F.lit(0)).withColumn("__row", F.lit(None).cast(right.select(row.alias("r")).schema["r"].dataType))
     b = right.groupBy(*on, at).agg(F.max(row).alias("__row")).withColumn("__right", F.lit(1))
     both = a.unionByName(b, allowMissingColumns=True)
-    seen = W.partitionBy(*on).orderBy(at, F.col("__right").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    found = both.withColumn("__row", F.last("__row", ignorenulls=True).over(seen)).where("__right = 0")
+    placed = carried(dealt(both, [*[F.col(c) for c in on], F.col(at)]), on, F.max("__row"), F.max("__edge"), "__before")
+    seen = W.partitionBy("__part", *on).orderBy(at, F.col("__right").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = placed.withColumn("__row", F.coalesce(F.last("__row", ignorenulls=True).over(seen), "__before")).where("__right = 0")
     return found.select(*left.columns, *[F.col(f"__row.{c}").alias(prefix + c) for c in (at, *payload)])
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickwise.operators.parts import carried, dealt
+
 
 def versions(changes: DataFrame, key: tuple[str, ...], tick: str, alive: Column) -> DataFrame:
     """(columns, from_tick, to_tick) from a log of puts and deletes: a version ends where the key's next change begins.
@@ -15,8 +17,9 @@ def versions(changes: DataFrame, key: tuple[str, ...], tick: str, alive: Column)
     rest = [c for c in changes.columns if c not in key and c != tick]
     marked = changes.withColumn("__alive", alive)
     one = marked.groupBy(*key, tick).agg(F.max(F.struct("__alive", *rest)).alias("__row"))
-    following = F.lead(tick).over(W.partitionBy(*key).orderBy(tick))
-    ended = one.withColumn("to_tick", following).where("__row.__alive")
+    placed = carried(dealt(one, [F.col(c) for c in (*key, tick)]), key, F.min(tick), F.min("__edge"), "__next", back=True)
+    following = F.coalesce(F.lead(tick).over(W.partitionBy("__part", *key).orderBy(tick)), "__next")
+    ended = placed.withColumn("to_tick", following).where("__row.__alive")
     return ended.select(*key, *[F.col(f"__row.{c}").alias(c) for c in rest], F.col(tick).alias("from_tick"), "to_tick")
 
 
