@@ -86,3 +86,30 @@ def test_stream_batches_are_ticks(spark, tmp_path):
     source = spark.readStream.schema("x long").parquet(str(tmp_path / "in"))
     run_stream(source, "x", ticks, str(tmp_path / "check")).awaitTermination(60)
     assert rows(ticks.state["got"]) == [(1,), (2,)]
+
+
+def test_journal_survives_a_restart(spark, tmp_path):
+    """A second Ticks goes on from the first one's tables, deltas, messages and last batch."""
+
+    def step(t):
+        if "ev" in t.events:
+            t.insert("got", t.events["ev"])
+            t.send("echo", t.events["ev"].selectExpr("x + 100 as x"), delay=2)
+        if "echo" in t.events:
+            t.insert("got", t.events["echo"])
+
+    journal = f"file://{tmp_path}/journal"
+    tables = [Table("got", "x long"), Table("idle", "x long")]
+    first = Ticks(spark, tables, step, journal)
+    assert not first.recovered
+    for n in (1, 2):
+        first.advance({"ev": spark.createDataFrame([(n,)], "x long")}, batch=n - 1)
+    again = Ticks(spark, tables, step, journal)
+    assert again.recovered and (again.number, again.batch) == (2, 1)
+    assert sorted(r.x for r in again.before["got"].collect()) == [1]
+    for _ in range(2):
+        again.advance()
+        first.advance()
+    for t in (first, again):
+        assert sorted(r.x for r in t.state["got"].collect()) == [1, 2, 101, 102] and t.state["idle"].isEmpty() and not t.waiting
+    assert Ticks(spark, tables, step, journal).number == 4

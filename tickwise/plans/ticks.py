@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from .shared import Shared
 
@@ -82,33 +84,77 @@ def _unique(rows: DataFrame, key: tuple[str, ...], what: str) -> None:
 
 
 class Ticks:
-    """Runs ``step(tick)`` once per tick; each tick's tables are written to the shared folder, which cuts lineage."""
+    """Runs ``step(tick)`` once per tick; each tick's tables are written to the shared folder, which cuts lineage.
 
-    def __init__(self, spark: SparkSession, tables: list[Table], step: Callable[[Tick], None]):
-        self.spark, self.step = spark, step
+    With a ``journal`` (a folder that outlives the session, as must spark.checkpoint.dir then) every tick also notes where its
+    tables and waiting messages lie. A new Ticks over the same journal goes on after the last tick noted; ``recovered`` tells.
+    A tick counts once its note is there: one cut off before that is run again from the same tables.
+    """
+
+    NOTE = "kind string, name string, at long, path string, schema string, batch long"
+
+    def __init__(self, spark: SparkSession, tables: list[Table], step: Callable[[Tick], None], journal: str | None = None):
+        self.spark, self.step, self.journal = spark, step, journal
         self.specs = {t.name: t for t in tables}
         empty = {t.name: spark.createDataFrame([], t.ddl) for t in tables}
-        self.state, self.before, self.number = empty, dict(empty), 0
+        self.state, self.before, self.number, self.batch = empty, dict(empty), 0, -1
         self.waiting: dict[int, list[tuple[str, DataFrame]]] = {}
+        self.paths: dict[tuple[str, str, int], tuple[str, DataFrame]] = {}
+        self.recovered = journal is not None and self._recover()
 
-    def advance(self, events: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    def advance(self, events: dict[str, DataFrame] | None = None, batch: int | None = None) -> dict[str, DataFrame]:
         """One tick over the carried tables and the events; returns the tables of the next one."""
         got: dict[str, list[DataFrame]] = {k: [v] for k, v in (events or {}).items()}
         for name, rows in self.waiting.pop(self.number, []):
             got.setdefault(name, []).append(rows)
         tick = Tick(self.number, self.state, self.before, {k: reduce(DataFrame.unionByName, v).distinct() for k, v in got.items()})
         self.step(tick)
-        following = {name: self._next(name, tick) for name in self.specs}
-        for event, at, rows in tick.messages:
-            self.waiting.setdefault(at, []).append((event, Shared(rows.distinct()).df))
-        self.before, self.state = self.state, following
+        paths = {("before", name, 0): at for (kind, name, _), at in self.paths.items() if kind == "table"}
+        paths |= {key: at for key, at in self.paths.items() if key[0] == "table" or (key[0].startswith("message") and key[2] > self.number)}
+        following = {}
+        for name in self.specs:
+            held = self._next(name, tick)
+            following[name] = tick.tables[name] if held is None else held.df
+            if held is not None:
+                paths["table", name, 0] = (held.path, held.df)
+        for i, (event, at, rows) in enumerate(tick.messages):
+            kept = Shared(rows.distinct())
+            self.waiting.setdefault(at, []).append((event, kept.df))
+            paths[f"message {self.number} {i}", event, at] = (kept.path, kept.df)
+        self.before, self.state, self.paths = self.state, following, paths
         self.number += 1
+        self.batch = self.batch if batch is None else batch
+        if self.journal is not None:
+            rows = [(kind, name, at, path, df.schema.json(), self.batch) for (kind, name, at), (path, df) in paths.items()] or [("none", "", 0, "", "", self.batch)]
+            self.spark.createDataFrame(rows, self.NOTE).coalesce(1).write.mode("overwrite").parquet(f"{self.journal}/tick={self.number}")
         return self.state
 
-    def _next(self, name: str, tick: Tick) -> DataFrame:
+    def _recover(self) -> bool:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.journal)
+        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+            return False
+        notes = self.spark.read.schema(f"{self.NOTE}, tick int").parquet(self.journal)
+        last = notes.agg({"tick": "max"}).first()[0]
+        if last is None:
+            return False
+        self.number = last
+        for r in notes.where(f"tick = {last}").collect():
+            self.batch = r["batch"]
+            if r["kind"] == "none":
+                continue
+            df = self.spark.read.schema(StructType.fromJson(json.loads(r["schema"]))).parquet(r["path"])
+            self.paths[r["kind"], r["name"], r["at"]] = (r["path"], df)
+            if r["kind"] in ("table", "before"):
+                (self.state if r["kind"] == "table" else self.before)[r["name"]] = df
+            else:
+                self.waiting.setdefault(r["at"], []).append((r["name"], df))
+        return True
+
+    def _next(self, name: str, tick: Tick) -> Shared | None:
+        """The table's rows of the next tick; none if nothing touched it."""
         spec, now, staged = self.specs[name], tick.tables[name], tick.staged.get(name, {})
         if not staged and name not in tick.keep:
-            return now
+            return None
         union = lambda kind: reduce(DataFrame.unionByName, staged[kind]).distinct()
         out = now
         if name in tick.keep:
@@ -121,9 +167,9 @@ class Ticks:
             out = out.join(fresh.select(*spec.key), list(spec.key), "left_anti").unionByName(fresh)
         if "insert" in staged:
             out = out.unionByName(union("insert"))
-        held = Shared(out.select(*now.columns).distinct()).df
+        held = Shared(out.select(*now.columns).distinct())
         if spec.key:
-            _unique(held, spec.key, f"two rows of {name} with one key")
+            _unique(held.df, spec.key, f"two rows of {name} with one key")
         return held
 
     def run(self, script: Iterable[dict[str, DataFrame]], ticks: int | None = None) -> dict[str, DataFrame]:

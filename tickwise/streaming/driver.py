@@ -10,13 +10,14 @@ from tickwise.plans.ticks import Ticks
 
 
 def run_stream(source: DataFrame, event: str, ticks: Ticks, checkpoint: str, **trigger) -> StreamingQuery:
-    """Feeds each micro-batch as one tick's ``event``. A batch that a restart repeats is not applied twice."""
-    seen: set[int] = set()
+    """Feeds each micro-batch as one tick's ``event``. A batch that a restart repeats is not applied twice.
+
+    Give ``ticks`` a journal for that to hold across sessions, too.
+    """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        if batch_id not in seen:
-            ticks.advance({event: rows})
-            seen.add(batch_id)
+        if batch_id > ticks.batch:
+            ticks.advance({event: rows}, batch_id)
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
