@@ -29,7 +29,7 @@ def world(seed=3):
     say = lambda n: " ".join(rnd.choice(vocab) for _ in range(n))
     items = [(i, say(rnd.choice([8, 15, 22, 45]))) for i in range(12)]
     docs = [(0, None), (1, ""), (2, say(3000))]
-    for i in range(3, 45):
+    for i in range(3, 75):
         text = say(60)
         if i % 3 == 0:
             t = list(rnd.choice(items)[1])
