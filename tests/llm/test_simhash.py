@@ -75,3 +75,44 @@ def test_wide_fingerprint_deals_each_hash_once():
     text = b" ".join(b"w%d" % i for i in range(500))
     wide = simhash.fingerprint(text, 5, 16)
     assert len(wide) == 16 and len(set(wide)) == 16 and simhash.fingerprint(b"", 5, 16) == [0] * 16
+
+
+def near_copies_brute(texts, n=5):
+    sets = [set(simhash.shingle_set(bytes(t or "", "utf8"), n).tolist()) for t in texts]
+    part = list(range(len(texts)))
+
+    def root(i):
+        while part[i] != i:
+            i = part[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or both * 9 >= (len(sets[i]) + len(sets[j])) * 4:
+                a, b = sorted((root(i), root(j)))
+                part[b] = a
+    return {i: root(i) for i in range(len(texts))}
+
+
+def near_corpus(seed=5):
+    """Long and short texts whose copies lie on both sides of 0.8, some behind a passage that many share."""
+    rnd = random.Random(seed)
+    say = lambda n: [f"w{rnd.randrange(20000)}" for _ in range(n)]
+    notice = say(120)
+    texts = [None, "", " ", "One two", "one  TWO", "a b"]
+    for k in range(24):
+        base = (notice if k % 3 == 0 else []) + say(rnd.choice([25, 60, 300, 2500]))
+        for share in (0, 0.012, 0.02, 0.022, 0.024, 0.03, 0.05):
+            copy = base[:]
+            for at in rnd.sample(range(len(copy)), round(len(copy) * share)):
+                copy[at] = f"x{rnd.randrange(20000)}"
+            texts.append(" ".join(copy))
+    return texts
+
+
+def test_near_copies_are_the_pairs_of_jaccard_four_fifths(spark):
+    texts = near_corpus()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
+    assert got == near_copies_brute(texts)

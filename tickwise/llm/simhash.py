@@ -8,6 +8,7 @@ fixed and a dynamic programme spends it where the estimated candidates are fewes
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -277,57 +278,138 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select("id", "fp", "component_id")
 
 
-#: Words of a wide fingerprint, and the share of differing bits (of the words that either text fills) up to which
-#: two texts are near: at a Jaccard similarity of 0.8 over their shingles the expected share is 0.15.
-WIDE, NEAR = 16, 0.165
+#: Two texts are near copies if their sets of shingles have a Jaccard similarity of NEAR[0] / NEAR[1] or more.
+NEAR = (4, 5)
+#: One document in SAMPLE tells which shingles are common; at most COMMON of them are broadcast.
+SAMPLE, COMMON = 8, 1 << 18
 
 
-def wide_links(reps: DataFrame, near: float = NEAR) -> DataFrame:
-    """Edges (a, b) between fingerprints of several words whose share of differing bits is at most ``near``.
+def shingle_set(text: bytes, n: int) -> np.ndarray:
+    """The distinct shingle hashes in ascending order."""
+    return np.unique(np.frombuffer(shingle_digests(text, n), ">u8").astype(np.uint64))
 
-    Here 3 parts a word at threshold zero are probed, the allocation that the pigeonhole sum gives for a tau of
-    parts - 1: pairs within that many bits always meet, and of those further apart nearly all do, as each of
-    the parts is another chance. In a bucket, ordered by the whole word, a fingerprint is compared with the two before
-    it and with the first, so a group of near copies gives rows in proportion to its size and holds together
-    through these. Words that no shingle was dealt to are not probed.
+
+def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """(id, n, set, same) of every row with an id: its distinct shingle hashes as bytes, how many, and their MD5."""
+
+    def step(batches):
+        for b in batches:
+            sets = [shingle_set(t, shingle) for t in b["t"]]
+            raw = [x.tobytes() for x in sets]
+            yield {"id": b["id"], "n": [len(x) for x in sets], "set": raw, "same": [hashlib.md5(x).digest() for x in raw]}
+
+    source = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("t")).where("id is not null")
+    return map_columns(source, step, "id long, n int, set binary, same binary")
+
+
+def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest shingle hashes of a sample of the sets, ascending, and how often each was met there."""
+
+    def step(batches):
+        for b in batches:
+            yield {"token": np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x, np.int64) for x in b["set"]]])}
+
+    tokens = map_columns(sets.where(F.pmod(F.xxhash64("same"), F.lit(SAMPLE)) == 0).select("set"), step, "token long")
+    found = tokens.groupBy("token").agg(F.count("*").cast("int").alias("n")).where("n > 2").orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
+    token, n = found["token"].to_numpy().astype(np.int64).view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(token)
+    return token[order], n[order]
+
+
+def prefixes(reps: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
+    """(token, rep, n, at): the shingles of each set that stand first, rare before common, and their places from 1.
+
+    Two sets of the wanted similarity share at least ceil(n * near) of the n shingles of either, so under any one
+    order of all shingles they share one among the first n - ceil(n * near) + 1 of both. The order only decides
+    how many other sets are met there.
     """
-    groups = bit_groups(reps, 3)
+    shared = reps.sparkSession.sparkContext.broadcast(common_shingles(reps))
 
-    def index(batches):
+    def step(batches):
+        common, often = shared.value
         for b in batches:
-            for a in range(0, b.num_rows, 2048):
-                c = b.slice(a, 2048)
-                rep, fp = c.column(0).to_numpy(), np.array(c.column(1).to_pylist(), np.int64)
-                for w in range(fp.shape[1]):
-                    some = np.flatnonzero(fp[:, w])
-                    bits = _bits(fp[some, w : w + 1])
-                    for i, part in enumerate(groups):
-                        yield pa.RecordBatch.from_arrays([pa.array(((3 * w + i) << 32) | _value(bits[:, part])), pa.array(fp[some, w]), pa.array(rep[some])], names=["key", "word", "rep"])
-
-    rows = reps.select("rep", "fp").mapInArrow(index, "key long, word long, rep long")
-    bucket = W.partitionBy("key").orderBy("word", "rep")
-    met = rows.select("rep", F.array_distinct(F.array(F.lag("rep", 1).over(bucket), F.lag("rep", 2).over(bucket), F.first("rep").over(bucket))).alias("others"))
-    pairs = met.where(F.size("others") > 1).select("rep", F.explode("others").alias("other")).where("other is not null and other <> rep")
-    pairs = pairs.select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).distinct()
-    left, right = reps.select(F.col("rep").alias("a"), F.col("fp").alias("x")), reps.select(F.col("rep").alias("b"), F.col("fp").alias("y"))
-    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-    filled = F.aggregate(F.zip_with("x", "y", lambda x, y: F.when((x != 0) | (y != 0), 64).otherwise(0)), F.lit(0), lambda s, n: s + n)
-    return pairs.join(left, "a").join(right, "b").where(apart <= F.lit(near) * filled).select("a", "b")
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = WIDE, near: float = NEAR) -> DataFrame:
-    """(id, component_id) of every row with an id, by wide fingerprints; the component is its smallest id.
-
-    Texts with equal fingerprints, texts without words among them, are copies. Repeated ids keep their rows.
+            for c in range(0, len(b["rep"]), 2048):
+                tokens, reps, sizes, places = [], [], [], []
+                for rep, raw in zip(b["rep"][c : c + 2048], b["set"][c : c + 2048]):
+                    x = np.frombuffer(raw, np.uint64)
+                    if not len(x):
+                        continue
+                    first = len(x) + (-len(x) * near[0] // near[1]) + 1
+                    if len(common):
+                        k = np.minimum(np.searchsorted(common, x), len(common) - 1)
+                        x = x[np.argsort(np.where(common[k] == x, often[k], 0), kind="stable")]
+                    tokens.append(x[:first].view(np.int64))
+                    reps.append(np.full(first, rep))
+                    sizes.append(np.full(first, len(x)))
+                    places.append(np.arange(1, first + 1))
+                if tokens:
+                    yield {"token": np.concatenate(tokens), "rep": np.concatenate(reps), "n": np.concatenate(sizes), "at": np.concatenate(places)}
+
+    return map_columns(reps.select("rep", "set"), step, "token long, rep long, n int, at int")
+
+
+def _possible(x: str, y: str, near: tuple[int, int]):
+    """Whether sets that first meet at these places can be near: no shingle before is shared, all after may be."""
+    col = lambda name: F.col(name).cast("long")
+    most = 1 + F.least(col(f"{x}.n") - col(f"{x}.at"), col(f"{y}.n") - col(f"{y}.at"))
+    return most * (near[0] + near[1]) >= (col(f"{x}.n") + col(f"{y}.n")) * near[0]
+
+
+def verified(pairs: DataFrame, reps: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are near, by exact count."""
+
+    def step(batches):
+        for b in batches:
+            keep = []
+            for k, (x, y) in enumerate(zip(b["x"], b["y"])):
+                both = np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).size
+                if both * (near[0] + near[1]) >= (len(x) // 8 + len(y) // 8) * near[0]:
+                    keep.append(k)
+            yield {"a": [b["a"][k] for k in keep], "b": [b["b"][k] for k in keep]}
+
+    left, right = reps.select(F.col("rep").alias("a"), F.col("set").alias("x")), reps.select(F.col("rep").alias("b"), F.col("set").alias("y"))
+    return map_columns(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), step, "a long, b long").distinct()
+
+
+def jaccard_links(reps: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
+    """Edges (a, b) between near sets that connect every pair of near sets, and no others. reps: (rep, n, set).
+
+    Candidates share a shingle of their prefixes, which loses no near pair; each is verified by its exact
+    similarity. First a set is compared only with the two before it and the first of a bucket, which holds groups of
+    near copies together by rows in proportion to their size. Then all pairs of a bucket that these links leave in
+    different components are compared, so every near pair is linked or already connected.
     """
-    fps = materialize(fingerprints(docs, id_col, text_col, shingle, words).where("id is not null"))
-    reps = materialize(fps.groupBy("fp").agg(F.min("id").alias("rep")))
-    parts = connected_components(wide_links(reps, near))
-    named = reps.join(parts, reps["rep"] == parts["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, "fp").select("id", "component_id")
+    bucket = W.partitionBy("token").orderBy("n", "rep")
+    me = F.struct("rep", "n", "at")
+    rows = prefixes(reps, near).select("*", F.lag(me, 1).over(bucket).alias("p1"), F.lag(me, 2).over(bucket).alias("p2"), F.first(me).over(bucket).alias("p0"), F.lead("rep", 1).over(bucket).alias("next"))
+    rows = materialize(rows.where("p1 is not null or next is not null").drop("next"))
+    star = rows.select(F.struct("rep", "n", "at").alias("x"), F.explode(F.array("p0", "p1", "p2")).alias("y")).where("y is not null and x.rep <> y.rep")
+    star = materialize(star.where(_possible("x", "y", near)).select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct())
+    first = materialize(verified(star, reps, near))
+    named = materialize(connected_components(first))
+    rows = rows.select("token", "rep", "n", "at").join(named, F.col("rep") == F.col("node"), "left").withColumn("c", F.coalesce("component", "rep")).drop("node", "component")
+    mixed = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
+    rows = materialize(rows.join(mixed, "token", "left_semi"))
+    pair = (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") > F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & _possible("x", "y", near)
+    rest = rows.alias("x").join(rows.alias("y"), on=pair).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    rest = materialize(rest.join(star, ["a", "b"], "left_anti"))
+    return first.unionByName(verified(rest, reps, near))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, near: tuple[int, int] = NEAR) -> DataFrame:
+    """(id, component_id) of every row with an id, by shingle sets; the component is its smallest id.
+
+    Texts with equal sets, texts without words among them, are copies. Repeated ids keep their rows.
+    """
+    sets = materialize(shingle_sets(docs, id_col, text_col, shingle))
+    same = materialize(sets.groupBy("same").agg(F.min("id").alias("rep")))
+    reps = sets.join(same.withColumnRenamed("rep", "id"), ["id", "same"], "left_semi").select(F.col("id").alias("rep"), "n", "set", "same")
+    parts = connected_components(jaccard_links(reps, near))
+    named = same.join(parts, same["rep"] == parts["node"], "left").select("same", F.coalesce("component", "rep").alias("component_id"))
+    return sets.select("id", "same").join(named, "same").select("id", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = WIDE, near: float = NEAR) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, near: tuple[int, int] = NEAR) -> DataFrame:
     """The rows of ``docs`` but for near copies of a smaller id, columns as they are. Rows without an id stay."""
-    gone = near_copies(docs, id_col, text_col, shingle, words, near).where("id <> component_id").select(F.col("id").alias("__gone")).distinct()
+    gone = near_copies(docs, id_col, text_col, shingle, near).where("id <> component_id").select(F.col("id").alias("__gone")).distinct()
     return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
