@@ -116,3 +116,14 @@ def test_near_copies_are_the_pairs_of_jaccard_four_fifths(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
     assert got == near_copies_brute(texts)
+
+
+def test_short_texts_under_four_fifths_stay(spark):
+    """29 words have 25 shingles; a word changed inside breaks five of them (20 of 30 shared), the last word one (24 of 26)."""
+    texts = []
+    for k in range(40):
+        base = [f"k{k}w{i}" for i in range(29)]
+        texts += [" ".join(base), " ".join([*base[:14], "other", *base[15:]]), " ".join([*base[:28], "other"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gone = {r["id"] for r in simhash.near_copies(df).where("id <> component_id").collect()}
+    assert gone == {3 * k + 2 for k in range(40)}
