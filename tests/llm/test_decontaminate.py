@@ -69,3 +69,14 @@ def test_empty_tables(spark):
     one = spark.createDataFrame([(1, "word " * 30)], "doc_id long, text string")
     assert D.contaminated(d, b).count() == 0 and D.keep_clean(one, b).count() == 1
     assert D.contaminated(d, one.withColumnRenamed("doc_id", "item_id")).count() == 0
+
+
+def test_a_passage_is_found_wherever_it_starts(spark):
+    rnd = random.Random(8)
+    items = [(i, " ".join("".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(3, 8))) for _ in range(47))) for i in range(3)]
+    windows = [(i, a) for i, _ in items for a in range(47 - 20 + 1)]
+    docs = [(k, "before it " + " ".join(items[i][1].split()[a : a + 20]) + " after it") for k, (i, a) in enumerate(windows)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["id"], r["item"], r["distance"]) for r in D.contaminated(d, b).collect()} == {(k, i, 0) for k, (i, _) in enumerate(windows)}
+    assert D.keep_clean(d, b).count() == 0

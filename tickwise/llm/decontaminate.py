@@ -2,8 +2,8 @@
 
 A passage that may differ in k edits is cut into k + 1 pieces; one of them must occur untouched. Pieces are found
 exactly with one Aho-Corasick automaton, and the text around each hit is verified with Myers' bit-parallel
-edit distance. A test item is searched as a whole if short, else as overlapping passages, so that a
-document which quotes a part of it is found too.
+edit distance. A test item is searched as a whole if short, else as all its passages, one from every word on, so
+that a document which quotes a passage of it is found wherever the quote starts.
 """
 
 from __future__ import annotations
@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from .common import map_columns
 
-#: Words in a passage, words from one passage to the next, edits allowed per character, fewest characters searched.
-PASSAGE, STRIDE, EDITS, SHORTEST = 20, 10, 0.06, 25
-#: Bytes of benchmark text that one automaton, broadcast to the tasks, may hold; more is searched in blocks.
-BLOCK_BYTES = 16 << 20
+#: Words in a passage, edits allowed per character, fewest characters searched.
+PASSAGE, EDITS, SHORTEST = 20, 0.06, 25
+#: Bytes of benchmark text that one automaton, broadcast to the tasks, may hold; more is searched in blocks. Every
+#: word starts a passage with pieces of its own, so the automaton is some hundred times this.
+BLOCK_BYTES = 1 << 20
 
 
 def normal(text: str) -> str:
@@ -36,8 +37,7 @@ class Passage:
 
 def passages(item: int, text: str) -> list[Passage]:
     words = normal(text).split(" ")
-    starts = range(0, max(1, len(words) - PASSAGE + 1), STRIDE)
-    cut = {" ".join(words[a : a + PASSAGE]) for a in starts} | {" ".join(words[max(0, len(words) - PASSAGE) :])}
+    cut = {" ".join(words[a : a + PASSAGE]) for a in range(max(1, len(words) - PASSAGE + 1))}
     return [Passage(item, t, int(len(t) * EDITS)) for t in sorted(cut) if len(t) >= SHORTEST]
 
 
