@@ -73,3 +73,22 @@ def test_positions_follow_the_schedule(spark):
     df = spark.createDataFrame(corpus(), DDL)
     order = [r["first_position"] for r in mixing.training_order(mixing.mix(df), 3).collect()]
     assert order == sorted(order)
+
+
+def test_every_pass_has_a_place_in_the_training_order(spark):
+    rows = [(i, "w " * (3 + i % 7), f"s{i % 3}") for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = {r["id"]: r for r in mixing.mix(df).collect()}
+    shown = mixing.schedule(mixing.mix(df)).collect()
+    words, at = defaultdict(int), defaultdict(list)
+    for r in sorted(shown, key=lambda r: (r["id"], r["pass"])):
+        words[r["id"]] += r["words"]
+        at[r["id"]].append(r["position"])
+    assert words == {i: r["taken"] for i, r in mixed.items() if r["taken"]}
+    assert any(len(x) > 1 for x in at.values()) and all(x == sorted(set(x)) and x[0] == mixed[i]["first_position"] for i, x in at.items())
+    place = {(r["id"], r["pass"]): r["position"] for r in shown}
+    seen, order = defaultdict(int), []
+    for r in mixing.copies(df).collect():
+        order.append(place[r["doc_id"], seen[r["doc_id"]]])
+        seen[r["doc_id"]] += 1
+    assert order == sorted(order) and len(order) > 90

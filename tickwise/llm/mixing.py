@@ -63,12 +63,13 @@ def position(part: F.Column, ramp: F.Column, knots: int) -> F.Column:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, ramps: tuple[tuple[float, ...], ...] = RAMPS) -> DataFrame:
-    """(id, source, size, source_size, target, taken, passes, first_position) of every row of ``docs``.
+    """(id, source, size, source_size, target, taken, passes, first_position, before, ramp) of every row of ``docs``.
 
     size counts words. A source's stream is its documents in the order of md5(id), over and over; the mix takes its
     first ``target`` words, so a document is taken target // source_size times in whole and once more if it comes
     before the end; the one document at the end is taken in part, so that sources meet their targets to the word.
-    first_position is where the curriculum first shows the document, null if nothing of it is taken.
+    first_position is where the curriculum first shows the document, null if nothing of it is taken; before counts the
+    words ahead of it in a pass of its source's stream and ramp is the source's schedule.
     Null texts have no words; a null source is a source of its own; repeated rows each keep their place; empty
     tables give no rows. Running sums are made block by block, so a source may hold any share of the rows.
     """
@@ -87,26 +88,47 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     start = F.when((F.col("taken") > 0) & (F.col("target") > 0), position(F.col("before") / F.col("target"), F.col("ramp"), knots))
     return (
         before.withColumn("__words", words).withColumn("passes", whole).withColumn("taken", F.col("passes") * F.col("size") + rest).withColumn("first_position", start)
-        .select("id", "source", "size", "source_size", "target", "taken", "passes", "first_position")
+        .select("id", "source", "size", "source_size", "target", "taken", "passes", "first_position", "before", "ramp")
     )
 
 
 def training_order(mixed: DataFrame, partitions: int) -> DataFrame:
-    """The taken documents, range-partitioned and sorted by training position: partition k is read before k + 1."""
+    """The taken documents by first appearance: partition k is read before k + 1. ``schedule`` has every pass."""
     return mixed.where("taken > 0").repartitionByRange(partitions, "first_position", "id").sortWithinPartitions("first_position", "id")
 
 
+def _shown(number: F.Column, knots: int) -> F.Column:
+    """The time at which the curriculum shows a document in pass ``number`` of its source's stream, counted from 0."""
+    part = (number * F.col("source_size") + F.col("before")) / F.col("target")
+    return F.when(F.col("target") > 0, position(part, F.col("ramp"), knots)).otherwise(0.0)
+
+
+def schedule(mixed: DataFrame, knots: int = len(RAMPS[0])) -> DataFrame:
+    """(id, source, pass, words, position): each pass of each taken document, its words and its place in the curriculum."""
+    rest = F.col("taken") - F.col("passes") * F.col("size")
+    last = F.col("passes") + F.when(rest > 0, 1).otherwise(0)
+    each = mixed.where("taken > 0").withColumn("__last", last.cast("long")).withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__last") - 1)))
+    words = F.when(F.col("pass") < F.col("passes"), F.col("size")).otherwise(rest)
+    return each.select("id", "source", "pass", words.alias("words"), _shown(F.col("pass"), knots).alias("position"))
+
+
 def copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, columns as they are.
+    """The rows of ``docs`` as often as the mix takes them, columns as they are, in training order.
 
-    Documents stay whole: the one at the end of a source's stream is taken if at least half of it is. Texts without
-    words, which cost nothing, are taken. Rows that repeat an id are each taken as often as the one taken most.
+    Each pass of a document has a position of its own; the rows are range-partitioned and sorted by it, so partition k
+    is read before k + 1. Documents stay whole: the one at the end of a source's stream is taken if at least half of it
+    is. Texts without words, which cost nothing, are taken. Rows that repeat an id are each taken as often as the one
+    taken most, at its positions.
     """
+    knots = len(options.get("ramps", RAMPS)[0])
     rest = F.col("taken") - F.col("passes") * F.col("size")
     times = F.col("passes") + F.when(rest * 2 >= F.col("size"), 1).otherwise(0)
-    taken = mix(docs, id_col, **options).groupBy(F.col("id").alias("__id")).agg(F.max(F.greatest(times, F.when(F.col("size") == 0, 1).otherwise(0))).cast("int").alias("__times"))
-    joined = docs.join(taken.where("__times > 0"), F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[joined[c] for c in docs.columns])
+    often = F.greatest(times, F.when(F.col("size") == 0, 1).otherwise(0)).cast("int").alias("__times")
+    most = mix(docs, id_col, **options).groupBy(F.col("id").alias("__id")).agg(F.max(F.struct(often, "before", "source_size", "target", "ramp")).alias("__most"))
+    shown = most.select("__id", "__most.*").where("__times > 0").withColumn("__pass", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)))
+    taken = materialize(shown.select("__id", _shown(F.col("__pass").cast("long"), knots).alias("__position")))
+    joined = docs.join(taken, F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
+    return joined.repartitionByRange("__position", "__id").sortWithinPartitions("__position", "__id").select(*[joined[c] for c in docs.columns])
 
 
 #: The taken words do not depend on the curriculum, so SQL can state them.
