@@ -367,7 +367,9 @@ def verified(pairs: DataFrame, reps: DataFrame, near: tuple[int, int] = NEAR) ->
                     keep.append(k)
             yield {"a": [b["a"][k] for k in keep], "b": [b["b"][k] for k in keep]}
 
-    left, right = reps.select(F.col("rep").alias("a"), F.col("set").alias("x")), reps.select(F.col("rep").alias("b"), F.col("set").alias("y"))
+    # only the sets of the pairs are moved
+    left = reps.select(F.col("rep").alias("a"), F.col("set").alias("x")).join(pairs.select("a").distinct(), "a", "left_semi")
+    right = reps.select(F.col("rep").alias("b"), F.col("set").alias("y")).join(pairs.select("b").distinct(), "b", "left_semi")
     return map_columns(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), step, "a long, b long").distinct()
 
 
@@ -403,7 +405,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     sets = materialize(shingle_sets(docs, id_col, text_col, shingle))
     same = materialize(sets.groupBy("same").agg(F.min("id").alias("rep")))
-    reps = sets.join(same.withColumnRenamed("rep", "id"), ["id", "same"], "left_semi").select(F.col("id").alias("rep"), "n", "set", "same")
+    # copies are mostly few, so this join can leave the sets where they are
+    extra = materialize(sets.select("id", "same").join(same, "same").where("id <> rep").select("id", "same"))
+    reps = sets.join(extra, ["id", "same"], "left_anti").select(F.col("id").alias("rep"), "n", "set", "same")
     parts = connected_components(jaccard_links(reps, near))
     named = same.join(parts, same["rep"] == parts["node"], "left").select("same", F.coalesce("component", "rep").alias("component_id"))
     return sets.select("id", "same").join(named, "same").select("id", "component_id")
