@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from tickwise.llm import simhash
 
@@ -58,6 +59,12 @@ def test_dense_buckets_take_the_ball_points(spark, monkeypatch):
     assert run(spark, texts) == brute(texts)
 
 
+def test_dense_buckets_with_an_odd_threshold(spark, monkeypatch):
+    texts = corpus(3)[:60]
+    monkeypatch.setattr(simhash, "BUCKET", 2)
+    assert run(spark, texts, tau=3) == brute(texts, tau=3)
+
+
 def test_empty_table(spark):
     assert run(spark, []) == {}
 
@@ -127,3 +134,31 @@ def test_short_texts_under_four_fifths_stay(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     gone = {r["id"] for r in simhash.near_copies(df).where("id <> component_id").collect()}
     assert gone == {3 * k + 2 for k in range(40)}
+
+
+def test_rows_go_by_id_and_text(spark):
+    """A unique text stays though its id belongs to a copy; of rows that repeat id and text one stays."""
+    one, other, third = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, one, "x"), (5, one, "y"), (5, other, "z"), (7, third, "p"), (7, third, "q"), (7, third, "r"), (None, one, "n"), (9, None, "e"), (10, "", "f"), (10, " ", "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id string")
+    got = [(r["doc_id"], r["text"]) for r in simhash.keep_one(df).collect()]
+    assert sorted(got, key=str) == sorted([(1, one), (5, other), (7, third), (None, one), (9, None)], key=str)
+
+
+def test_clashing_columns(spark):
+    names = ["id", "md5", "ID_", "node", "keep", "same", "fp", "rep", "a", "b", "__gone"]
+    text = " ".join(f"w{k}" for k in range(60))
+    df = spark.createDataFrame([(i, text, *names) for i in (2, 2, 3)], ", ".join(["doc_id long", "text string", *(f"{n} string" for n in names)]))
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [(2, text, *names)]
+
+
+def test_fingerprints_alone_would_not_do(spark):
+    """The search by fingerprints gives links of its own, and sets beyond its threshold are found all the same."""
+    texts = near_corpus(6)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = simhash.materialize(simhash.shingle_sets(df))
+    reps = sets.select(F.col("node").alias("rep"), "n", "set", "fp")
+    quick = {(r["a"], r["b"]) for r in simhash.verified(simhash._pairs_by_fingerprint(reps, 2).distinct(), reps).collect()}
+    every = {(r["a"], r["b"]) for r in simhash.jaccard_links(reps).collect()}
+    assert 0 < len(quick) < len(every)

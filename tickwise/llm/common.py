@@ -35,14 +35,25 @@ def map_columns(df: DataFrame, step: Callable[[Iterator[dict[str, list]]], Itera
     return df.mapInArrow(run, ddl)
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores as it takes to differ from all of ``taken``, which Spark compares without case."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_bytes(text: str | Column) -> Column:
     """UTF-8 bytes of a text column, null as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")
 
 
 def crc_remainder(doc_id: Column, modulus: int) -> Column:
-    """crc32 of the id as text, modulo ``modulus``: decides the fold of a labelled row."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % modulus
+    """crc32 of the id as text, modulo ``modulus``: decides the fold of a labelled row. A null id counts as an empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:

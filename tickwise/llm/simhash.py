@@ -4,24 +4,29 @@ A fingerprint is one or more 64-bit words. Its bits are dealt into parts, correl
 gives each part a threshold: -1 (skip it) or the radius of a Hamming ball that it probes there. If the
 thresholds sum to tau - parts + 1, any fingerprint within tau bits meets at least one of them, so the sum is
 fixed and a dynamic programme spends it where the estimated candidates are fewest. Candidates are verified.
+
+``near_duplicates`` links fingerprints. ``keep_one`` asks for a Jaccard similarity of the shingle sets, of which a
+fingerprint is only an estimate: the fingerprints find most links, each is verified by its exact similarity, and an
+exact search by set prefixes finds those that fingerprints can't.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickwise.plans.shared import materialize
 
-from .common import map_columns, text_bytes
+from .common import fresh, map_columns, text_bytes
 from .components import connected_components
 
 SEED = 42
@@ -45,14 +50,19 @@ def shingle_digests(text: bytes, n: int) -> bytes:
     return b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends[n - 1 :].tolist())])
 
 
+def _majority(raw: np.ndarray) -> int:
+    """The bits set in over half of the hashes, a row of eight bytes each, as a signed long."""
+    ones = np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(raw)).view(">i8")[0])
+
+
 def fingerprint(text: bytes, n: int, words: int = 1) -> list[int]:
     """Majority bits of the shingle hashes; with several words, each hash counts in the one it is dealt to."""
     raw = np.frombuffer(shingle_digests(text, n), np.uint8).reshape(-1, 8)
     if not len(raw):
         return [0] * words
     if words == 1:
-        ones = np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
-        return np.packbits(ones * 2 > len(raw)).view(">i8").tolist()
+        return [_majority(raw)]
     group = ((raw.view(">u8").ravel().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(words)
     order = np.argsort(group, kind="stable")
     sizes = np.bincount(group.astype(np.int64), minlength=words)
@@ -126,7 +136,7 @@ def _pieces(part: list[int]) -> list[list[int]]:
 
 
 def _masks(width: int, radius: int) -> np.ndarray:
-    return np.array([sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(width), r)], np.int64)
+    return np.array([sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(width), r)], np.uint64).view(np.int64)
 
 
 def distance_shares(fps: DataFrame, parts: list[list[int]], most: int) -> tuple[list[list[np.ndarray]], int]:
@@ -244,26 +254,30 @@ def links(reps: DataFrame, tau: int, parts_per_word: int = 3, most: int = 2) ->
     """Edges (a, b) that connect every pair of distinct one-word fingerprints within ``tau`` bits, and no others.
 
     reps: (rep, fp), one row per distinct fingerprint. Every pair is a row, but for pairs in a bucket of more than
-    BUCKET fingerprints: these are joined through the points of their Hamming balls of radius tau / 2, which
-    meet exactly if the pair is within tau (tau even), so a dense group costs rows in proportion to its members.
+    BUCKET fingerprints: these are joined through the points of their Hamming balls. A ball of radius tau // 2 and
+    one of the rest of tau meet exactly if the pair is within tau, so all that reach a point are linked to the
+    first of those near it, and a dense group costs rows in proportion to its members.
     """
     groups = bit_groups(reps, parts_per_word)
     shares, n = distance_shares(reps, groups, most)
     index, probes = (materialize(x) for x in signatures(reps, groups, shares, n, tau, most))
     near = (F.col("q.fp") < F.col("d.fp")) & (F.bit_count(F.col("q.fp").bitwiseXOR(F.col("d.fp"))) <= tau)
     large = materialize(index.groupBy("key").count().where(F.col("count") > BUCKET).select("key"))
-    if tau % 2 or large.isEmpty():
-        return probes.alias("q").join(index.alias("d"), on=(F.col("q.key") == F.col("d.key")) & near).select(F.col("q.rep").alias("a"), F.col("d.rep").alias("b")).distinct()
-    pairs = probes.join(large, "key", "left_anti").alias("q").join(index.alias("d"), on=(F.col("q.key") == F.col("d.key")) & near).select(F.col("q.rep").alias("a"), F.col("d.rep").alias("b"))
+    some = not large.isEmpty()
+    asking = probes.join(large, "key", "left_anti") if some else probes
+    pairs = asking.alias("q").join(index.alias("d"), on=(F.col("q.key") == F.col("d.key")) & near).select(F.col("q.rep").alias("a"), F.col("d.rep").alias("b"))
+    if not some:
+        return pairs.distinct()
     dense = index.unionByName(probes).join(large, "key", "left_semi").select("rep", "fp").distinct()
-    ball = F.array(*[F.lit(int(np.uint64(m).astype(np.int64))) for m in (np.uint64(0), *(np.uint64(1) << np.uint64(b) for b in range(64)))]) if tau == 2 else F.array(*[F.lit(int(np.array([sum(1 << b for b in c)], np.uint64).astype(np.int64)[0])) for r in range(tau // 2 + 1) for c in combinations(range(64), r)])
-    points = dense.select("rep", F.explode(F.transform(ball, lambda m: m.bitwiseXOR(F.col("fp")))).alias("point"))
-    hubs = points.groupBy("point").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1")
+    half = tau // 2
+    ball = F.lit([int(m) for m in _masks(64, half + tau % 2)])
+    points = dense.select("rep", "fp", F.explode(ball).alias("mask")).select("rep", F.col("mask").bitwiseXOR(F.col("fp")).alias("point"), (F.bit_count("mask") > half).alias("far"))
+    hubs = points.groupBy("point").agg(F.min(F.when(~F.col("far"), F.col("rep"))).alias("b"), F.count("*").alias("n")).where("b is not null and n > 1")
     met = points.join(hubs, "point").where("rep <> b").select(F.col("rep").alias("a"), "b")
     return pairs.unionByName(met).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, tau: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, tau: int = 2) -> DataFrame:
     """(id, fp, component_id) of every row: 64-bit fingerprints link at ``tau`` or fewer differing bits.
 
     component_id is the smallest id that links reach, itself included. Null and empty texts have fingerprint
@@ -289,17 +303,27 @@ def shingle_set(text: bytes, n: int) -> np.ndarray:
     return np.unique(np.frombuffer(shingle_digests(text, n), ">u8").astype(np.uint64))
 
 
+def _text_key(text_col: str) -> Column:
+    return F.unhex(F.md5(text_bytes(text_col)))
+
+
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """(id, n, set, same) of every row with an id: its distinct shingle hashes as bytes, how many, and their MD5."""
+    """(node, id, md5, n, set, same, fp) of every row with an id.
+
+    node is a number for the row; write the result before it is read twice. md5 is the text's; set holds the distinct
+    shingle hashes as bytes, n says how many, same is their MD5 and fp their fingerprint.
+    """
 
     def step(batches):
         for b in batches:
             sets = [shingle_set(t, shingle) for t in b["t"]]
             raw = [x.tobytes() for x in sets]
-            yield {"id": b["id"], "n": [len(x) for x in sets], "set": raw, "same": [hashlib.md5(x).digest() for x in raw]}
+            fps = [_majority(x.astype(">u8").view(np.uint8).reshape(-1, 8)) if len(x) else 0 for x in sets]
+            yield {"node": b["node"], "id": b["id"], "md5": b["md5"], "n": [len(x) for x in sets], "set": raw, "same": [hashlib.md5(x).digest() for x in raw], "fp": fps}
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("t")).where("id is not null")
-    return map_columns(source, step, "id long, n int, set binary, same binary")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("t"), _text_key(text_col).alias("md5")).where("id is not null")
+    numbered = source.withColumn("node", F.monotonically_increasing_id())
+    return map_columns(numbered, step, "node long, id long, md5 binary, n int, set binary, same binary, fp long")
 
 
 def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -373,47 +397,84 @@ def verified(pairs: DataFrame, reps: DataFrame, near: tuple[int, int] = NEAR) ->
     return map_columns(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), step, "a long, b long").distinct()
 
 
-def jaccard_links(reps: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
-    """Edges (a, b) between near sets that connect every pair of near sets, and no others. reps: (rep, n, set).
+def _pairs_by_fingerprint(reps: DataFrame, tau: int) -> DataFrame:
+    """(a, b), a > b: sets whose fingerprints are equal or, by the pigeonhole search, within ``tau`` bits; enough to connect them."""
+    first = materialize(reps.groupBy("fp").agg(F.min("rep").alias("b")))
+    equal = reps.select(F.col("rep").alias("a"), "fp").join(first, "fp").where("a <> b").select("a", "b")
+    near = links(first.select(F.col("b").alias("rep"), F.array("fp").alias("fp")), tau)
+    return equal.unionByName(near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
 
-    Candidates share a shingle of their prefixes, which loses no near pair; each is verified by its exact
-    similarity. First a set is compared only with the two before it and the first of a bucket, which holds groups of
-    near copies together by rows in proportion to their size. Then all pairs of a bucket that these links leave in
-    different components are compared, so every near pair is linked or already connected.
+def jaccard_links(reps: DataFrame, near: tuple[int, int] = NEAR, tau: int = 2) -> DataFrame:
+    """Edges (a, b) between near sets that connect every pair of near sets, and no others. reps: (rep, n, set, fp).
+
+    First come the pairs that the fingerprints' pigeonhole search finds. Sets that share a shingle of their prefixes are
+    the only others that can be near; a set meets the two before it and the first of a bucket, which holds groups of near
+    copies together by rows in proportion to their size. All these are verified by exact similarity. Then all pairs of
+    a bucket that the links leave in different components are verified, so every near pair is linked or connected.
     """
     bucket = W.partitionBy("token").orderBy("n", "rep")
     me = F.struct("rep", "n", "at")
     rows = prefixes(reps, near).select("*", F.lag(me, 1).over(bucket).alias("p1"), F.lag(me, 2).over(bucket).alias("p2"), F.first(me).over(bucket).alias("p0"), F.lead("rep", 1).over(bucket).alias("next"))
     rows = materialize(rows.where("p1 is not null or next is not null").drop("next"))
     star = rows.select(F.struct("rep", "n", "at").alias("x"), F.explode(F.array("p0", "p1", "p2")).alias("y")).where("y is not null and x.rep <> y.rep")
-    star = materialize(star.where(_possible("x", "y", near)).select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct())
-    first = materialize(verified(star, reps, near))
+    star = star.where(_possible("x", "y", near)).select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b"))
+    tried = materialize(_pairs_by_fingerprint(reps, tau).unionByName(star).distinct())
+    first = materialize(verified(tried, reps, near))
     named = materialize(connected_components(first))
     rows = rows.select("token", "rep", "n", "at").join(named, F.col("rep") == F.col("node"), "left").withColumn("c", F.coalesce("component", "rep")).drop("node", "component")
     mixed = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
     rows = materialize(rows.join(mixed, "token", "left_semi"))
     pair = (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") > F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & _possible("x", "y", near)
     rest = rows.alias("x").join(rows.alias("y"), on=pair).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    rest = materialize(rest.join(star, ["a", "b"], "left_anti"))
+    rest = materialize(rest.join(tried, ["a", "b"], "left_anti"))
     return first.unionByName(verified(rest, reps, near))
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, near: tuple[int, int]) -> DataFrame:
+    """(node, id, md5, keep) of every row with an id: keep is the (id, node, md5) of the row that stays for its group."""
+    sets = materialize(shingle_sets(docs, id_col, text_col, shingle))
+    same = materialize(sets.groupBy("same").agg(F.min(F.struct("id", "node", "md5")).alias("at"), F.count("*").alias("n")))
+    # copies are mostly few, so this join can leave the sets where they are
+    extra = materialize(sets.select("node", "same").join(same.where("n > 1"), "same").where("node <> at.node").select("node"))
+    reps = sets.join(extra, "node", "left_anti").select(F.col("node").alias("rep"), "n", "set", "fp")
+    parts = connected_components(jaccard_links(reps, near))
+    named = materialize(same.join(parts, F.col("at.node") == F.col("node"), "left").select("same", "at", F.coalesce("component", "at.node").alias("component")))
+    keep = named.groupBy("component").agg(F.min("at").alias("keep"))
+    return sets.select("node", "id", "md5", "same").join(named.join(keep, "component").select("same", "keep"), "same").drop("same")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, near: tuple[int, int] = NEAR) -> DataFrame:
     """(id, component_id) of every row with an id, by shingle sets; the component is its smallest id.
 
-    Texts with equal sets, texts without words among them, are copies. Repeated ids keep their rows.
+    Texts with equal sets, texts without words among them, are copies; very long texts count whole. Repeated rows stay,
+    each its own row; rows of one id with different texts link only if these are near. An empty table gives no rows,
+    and other columns, whatever their names, are ignored.
     """
-    sets = materialize(shingle_sets(docs, id_col, text_col, shingle))
-    same = materialize(sets.groupBy("same").agg(F.min("id").alias("rep")))
-    # copies are mostly few, so this join can leave the sets where they are
-    extra = materialize(sets.select("id", "same").join(same, "same").where("id <> rep").select("id", "same"))
-    reps = sets.join(extra, ["id", "same"], "left_anti").select(F.col("id").alias("rep"), "n", "set", "same")
-    parts = connected_components(jaccard_links(reps, near))
-    named = same.join(parts, same["rep"] == parts["node"], "left").select("same", F.coalesce("component", "rep").alias("component_id"))
-    return sets.select("id", "same").join(named, "same").select("id", "component_id")
+    return _grouped(docs, id_col, text_col, shingle, near).select("id", F.col("keep.id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, near: tuple[int, int] = NEAR) -> DataFrame:
-    """The rows of ``docs`` but for near copies of a smaller id, columns as they are. Rows without an id stay."""
-    gone = near_copies(docs, id_col, text_col, shingle, near).where("id <> component_id").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    """One row of each group of near copies, that of the smallest id, columns as they are.
+
+    Rows go by id and text, so a row whose id belongs to a copy stays if its own text is no copy; of rows that repeat both
+    one stays. Null and empty texts are copies of each other. Rows without an id all stay. Texts of any length
+    count whole, ties go to the row that was read first, an empty table stays empty, and other columns may have any name.
+    """
+    found = materialize(_grouped(docs, id_col, text_col, shingle, near))
+    kept = (F.col("id") == F.col("keep.id")) & (F.col("md5") == F.col("keep.md5"))
+    gone = found.where(~kept).select("id", "md5").distinct()
+    twice = materialize(found.where(kept & (F.col("node") != F.col("keep.node"))).select("id", "md5").distinct())
+    mine = docs[id_col].cast("long"), _text_key(text_col)
+
+    def named(rows: DataFrame, how: str, keys: DataFrame) -> DataFrame:
+        a, b = fresh(docs.columns, "id", "md5")
+        keys = keys.select(F.col("id").alias(a), F.col("md5").alias(b))
+        return rows.join(keys, reduce(Column.__and__, [x == F.col(c) for x, c in zip(mine, (a, b))]), how)
+
+    left = named(docs, "left_anti", gone)
+    if twice.isEmpty():
+        return left
+    a, b = fresh(docs.columns, "id", "md5")
+    repeated = named(left, "left_semi", twice).withColumns({a: mine[0], b: mine[1]}).dropDuplicates([a, b]).drop(a, b)
+    return named(left, "left_anti", twice).unionByName(repeated)
