@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tickwise.plans.shared import materialize
 
-from .common import WORD
+from .common import WORD, fresh
 from .numbering import running
 
 #: A schedule: the weight's multiple at equally spaced times from 0 to 1, linear between. Sources take them in turn.
@@ -62,6 +62,11 @@ def position(part: F.Column, ramp: F.Column, knots: int) -> F.Column:
     return found
 
 
+def _stream_key(doc_id: F.Column) -> F.Column:
+    """What a source's stream is ordered by."""
+    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, ramps: tuple[tuple[float, ...], ...] = RAMPS) -> DataFrame:
     """(id, source, size, source_size, target, taken, passes, first_position, before, ramp) of every row of ``docs``.
 
@@ -78,7 +83,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     knots = len(ramps[0])
     shape = F.element_at(F.array(*[F.array(*[F.lit(x) for x in r]) for r in ramps]), (F.col("rank") % len(ramps) + 1).cast("int"))
     targets = materialize(source_targets(sized, weights, share).withColumn("ramp", shape))
-    placed = sized.withColumn("md5", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")))
+    placed = sized.withColumn("md5", _stream_key(F.col("id")))
     joined = placed.join(targets.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     order = F.conv(F.substring("md5", 1, 8), 16, 10).cast("long").bitwiseAND(F.lit((1 << 32) - 2)) / 2
     before = running(joined, "rank", order.cast("long"), F.col("size"), "before", sized.count(), ["md5", "id", "size"])
@@ -92,47 +97,82 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
 
 
-def training_order(mixed: DataFrame, partitions: int) -> DataFrame:
-    """The taken documents by first appearance: partition k is read before k + 1. ``schedule`` has every pass."""
-    return mixed.where("taken > 0").repartitionByRange(partitions, "first_position", "id").sortWithinPartitions("first_position", "id")
-
-
 def _shown(number: F.Column, knots: int) -> F.Column:
     """The time at which the curriculum shows a document in pass ``number`` of its source's stream, counted from 0."""
     part = (number * F.col("source_size") + F.col("before")) / F.col("target")
     return F.when(F.col("target") > 0, position(part, F.col("ramp"), knots)).otherwise(0.0)
 
 
+def _passes(times: F.Column, words, knots: int) -> F.Column:
+    """An array with the position and words of each of a document's passes; ``words`` gives those of pass k."""
+    each = F.transform(F.sequence(F.lit(0).cast("long"), times.cast("long") - 1), lambda k: F.struct(_shown(k, knots).alias("position"), words(k).alias("words")))
+    return F.when(times > 0, each)
+
+
 def schedule(mixed: DataFrame, knots: int = len(RAMPS[0])) -> DataFrame:
-    """(id, source, pass, words, position): each pass of each taken document, its words and its place in the curriculum."""
+    """The rows of ``mixed``, one for each of its passes: with ``pass`` from 0, ``words``, ``position`` in the curriculum and ``place``.
+
+    place numbers all passes of all documents from 0 in the order of their positions, ties by md5 of the id, id and size.
+    A document of which nothing is taken has one row, all four of them null. Numbers are given block by block of
+    the range of positions, so no task holds the order.
+    """
     rest = F.col("taken") - F.col("passes") * F.col("size")
-    last = F.col("passes") + F.when(rest > 0, 1).otherwise(0)
-    each = mixed.where("taken > 0").withColumn("__last", last.cast("long")).withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__last") - 1)))
-    words = F.when(F.col("pass") < F.col("passes"), F.col("size")).otherwise(rest)
-    return each.select("id", "source", "pass", words.alias("words"), _shown(F.col("pass"), knots).alias("position"))
+    times = F.when(F.col("taken") > 0, F.col("passes") + F.when(rest > 0, 1).otherwise(0)).otherwise(0)
+    shown = _passes(times, lambda k: F.when(k < F.col("passes"), F.col("size")).otherwise(rest), knots)
+    rows = materialize(mixed.select("*", shown.alias("__shown")).select("*", F.posexplode_outer("__shown").alias("pass", "__one")).select(*mixed.columns, "pass", "__one.words", "__one.position"))
+    at = F.floor(F.least(F.coalesce("position", F.lit(0.0)), F.lit(1.0)) * F.lit(float((1 << 31) - 1))).cast("long")
+    keyed = rows.withColumn("__all", F.lit(0)).withColumn("__md5", _stream_key(F.col("id")))
+    counted = F.when(F.col("pass").isNotNull(), 1).otherwise(0).cast("long")
+    numbered = running(keyed, "__all", at, counted, "place", rows.count(), ["position", "__md5", "id", "size", "pass"])
+    return numbered.withColumn("place", F.when(F.col("pass").isNotNull(), F.col("place"))).drop("__all", "__md5")
+
+
+def training_order(mixed: DataFrame, partitions: int) -> DataFrame:
+    """Every pass of every taken document in training order: partition k is read before k + 1."""
+    return schedule(mixed).where("pass is not null").repartitionByRange(partitions, "place").sortWithinPartitions("place")
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, columns as they are, in training order.
 
     Each pass of a document has a position of its own; the rows are range-partitioned and sorted by it, so partition k
-    is read before k + 1. Documents stay whole: the one at the end of a source's stream is taken if at least half of it
-    is. Texts without words, which cost nothing, are taken. Rows that repeat an id are each taken as often as the one
-    taken most, at its positions.
+    is read before k + 1. Documents stay whole, of any length: the one at the end of a source's stream is taken if at
+    least half of it is. Null or empty texts, which cost nothing, are taken once. Rows that repeat an id, a null one too,
+    are each taken as often as the one taken most, at its positions; ties in position go by id. An empty table gives no rows,
+    and other columns may have any name.
     """
     knots = len(options.get("ramps", RAMPS)[0])
     rest = F.col("taken") - F.col("passes") * F.col("size")
     times = F.col("passes") + F.when(rest * 2 >= F.col("size"), 1).otherwise(0)
-    often = F.greatest(times, F.when(F.col("size") == 0, 1).otherwise(0)).cast("int").alias("__times")
-    most = mix(docs, id_col, **options).groupBy(F.col("id").alias("__id")).agg(F.max(F.struct(often, "before", "source_size", "target", "ramp")).alias("__most"))
-    shown = most.select("__id", "__most.*").where("__times > 0").withColumn("__pass", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)))
-    taken = materialize(shown.select("__id", _shown(F.col("__pass").cast("long"), knots).alias("__position")))
-    joined = docs.join(taken, F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
-    return joined.repartitionByRange("__position", "__id").sortWithinPartitions("__position", "__id").select(*[joined[c] for c in docs.columns])
+    often = F.greatest(times, F.when(F.col("size") == 0, 1).otherwise(0)).cast("int").alias("times")
+    most = mix(docs, id_col, **options).groupBy("id").agg(F.max(F.struct(often, "before", "source_size", "target", "ramp")).alias("most")).select("id", "most.*")
+    mine, at = fresh(docs.columns, "id", "position")
+    shown = most.select("id", F.explode(_passes(F.col("times"), lambda k: k, knots)).alias("one")).select(F.col("id").alias(mine), F.col("one.position").alias(at))
+    joined = docs.join(materialize(shown), docs[id_col].cast("long").eqNullSafe(F.col(mine)))
+    return joined.repartitionByRange(at, mine).sortWithinPartitions(at, mine).drop(mine, at)
+
+
+def _position_sql(part: str) -> str:
+    """``position`` in SQL, over columns r0, r1, ... of a schedule's weights at its knots."""
+    knots = len(RAMPS[0])
+    step = 1.0 / (knots - 1)
+    num = lambda x: f"{float(x)!r}::DOUBLE"
+    piece = lambda i: f"((r{i} + r{i + 1}) / {num(2)} * {num(step)})"
+    want, before, cases = f"(({part}) * ({' + '.join([num(0), *map(piece, range(knots - 1))])}))", num(0), []
+    for i in range(knots - 1):
+        rest = f"greatest({want} - ({before}), {num(0)})"
+        x = f"{num(2)} * {rest} / (r{i} + sqrt(greatest(r{i} * r{i} + {num(2)} * ((r{i + 1} - r{i}) / {num(step)}) * {rest}, {num(0)})))"
+        cases.append(f"WHEN {want} <= ({before}) + {piece(i)} THEN least({num(i * step)} + {x}, {num((i + 1) * step)})")
+        before = f"{before} + {piece(i)}"
+    return f"CASE {' '.join(cases)} ELSE {num(1)} END"
+
+
+def _ramp_sql(knot: int) -> str:
+    return "CASE " + " ".join(f"WHEN t.rank % {len(RAMPS)} = {i} THEN {float(r[knot])!r}::DOUBLE" for i, r in enumerate(RAMPS)) + " END"
 
 
-#: The taken words do not depend on the curriculum, so SQL can state them.
-ORACLE = """
+#: The same law in SQL: shares and levels, each source's stream, and the place of every pass in the curriculum.
+ORACLE = f"""
 WITH sized AS (
   SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
          CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size
@@ -147,10 +187,16 @@ lev AS (
 lv AS (SELECT arg_min(level, (cap / weight, rank)) AS level FROM lev WHERE level <= cap / weight),
 tg AS (SELECT wt.*, CASE WHEN lv.level IS NULL THEN cap ELSE least(cap, weight * lv.level) END AS target FROM wt, lv),
 b AS (
-  SELECT s.doc_id, s.source, s.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS words,
+  SELECT s.doc_id, s.h, s.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS words, {", ".join(f"{_ramp_sql(k)} AS r{k}" for k in range(len(RAMPS[0])))},
+         row_number() OVER () AS row,
          coalesce(sum(s.size) OVER (PARTITION BY t.rank ORDER BY s.h, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM sized s JOIN tg t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CAST(CASE WHEN source_size > 0 THEN (words // source_size) * size + greatest(0, least(words - (words // source_size) * source_size - before, size)) ELSE 0 END AS BIGINT) AS taken
-FROM b
+  FROM sized s JOIN tg t ON s.source IS NOT DISTINCT FROM t.source),
+k AS (
+  SELECT *, CAST(CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS BIGINT) AS passes,
+         CAST(CASE WHEN source_size > 0 THEN greatest(0, least(words - (words // source_size) * source_size - before, size)) ELSE 0 END AS BIGINT) AS rest FROM b),
+p AS (SELECT *, unnest(generate_series(0, passes + CASE WHEN rest > 0 THEN 1 ELSE 0 END - 1)) AS pass FROM k WHERE passes * size + rest > 0),
+o AS (SELECT row, pass, {_position_sql("(pass * source_size + before)::DOUBLE / target")} AS position, h, doc_id, size FROM p),
+f AS (SELECT row, pass, position, row_number() OVER (ORDER BY position, h, doc_id, size, pass) - 1 AS place FROM o)
+SELECT k.doc_id, k.size, k.source_size, k.target, k.passes * k.size + k.rest AS taken, f.position AS first_position, f.place AS first_place
+FROM k LEFT JOIN f ON f.row = k.row AND f.pass = 0
 """

@@ -52,9 +52,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mixing import mix
+    from .mixing import mix, schedule
 
-    return mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    passes = schedule(mix(table(spark, sf_dir, "documents")))
+    first = passes.where("pass is null or pass = 0")
+    return first.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.col("position").alias("first_position"), F.col("place").alias("first_place"))
 
 
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
