@@ -294,6 +294,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Two texts are near copies if their sets of shingles have a Jaccard similarity of NEAR[0] / NEAR[1] or more.
 NEAR = (4, 5)
+#: Sets that a task holds at a time, and ids of 8 bytes that are broadcast at most; more meet the sets in a shuffle.
+SETS, BROADCAST = 512, 4_000_000
 #: One document in SAMPLE tells which shingles are common; at most COMMON of them are broadcast.
 SAMPLE, COMMON = 8, 1 << 18
 
@@ -316,10 +318,12 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def step(batches):
         for b in batches:
-            sets = [shingle_set(t, shingle) for t in b["t"]]
-            raw = [x.tobytes() for x in sets]
-            fps = [_majority(x.astype(">u8").view(np.uint8).reshape(-1, 8)) if len(x) else 0 for x in sets]
-            yield {"node": b["node"], "id": b["id"], "md5": b["md5"], "n": [len(x) for x in sets], "set": raw, "same": [hashlib.md5(x).digest() for x in raw], "fp": fps}
+            for c in range(0, len(b["t"]), SETS):
+                own = {k: v[c : c + SETS] for k, v in b.items()}
+                sets = [shingle_set(t, shingle) for t in own.pop("t")]
+                raw = [x.tobytes() for x in sets]
+                fps = [_majority(x.astype(">u8").view(np.uint8).reshape(-1, 8)) if len(x) else 0 for x in sets]
+                yield own | {"n": [len(x) for x in sets], "set": raw, "same": [hashlib.md5(x).digest() for x in raw], "fp": fps}
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("t"), _text_key(text_col).alias("md5")).where("id is not null")
     numbered = source.withColumn("node", F.monotonically_increasing_id())
@@ -391,9 +395,11 @@ def verified(pairs: DataFrame, reps: DataFrame, near: tuple[int, int] = NEAR) ->
                     keep.append(k)
             yield {"a": [b["a"][k] for k in keep], "b": [b["b"][k] for k in keep]}
 
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
     # only the sets of the pairs are moved
-    left = reps.select(F.col("rep").alias("a"), F.col("set").alias("x")).join(pairs.select("a").distinct(), "a", "left_semi")
-    right = reps.select(F.col("rep").alias("b"), F.col("set").alias("y")).join(pairs.select("b").distinct(), "b", "left_semi")
+    own = reps.select("rep", "set").join(few, "rep", "left_semi")
+    left, right = own.select(F.col("rep").alias("a"), F.col("set").alias("x")), own.select(F.col("rep").alias("b"), F.col("set").alias("y"))
     return map_columns(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), step, "a long, b long").distinct()
 
 
