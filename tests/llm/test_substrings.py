@@ -46,6 +46,22 @@ def test_matches_brute_force(spark, monkeypatch, small, crowd):
     assert got == brute(docs, 12)
 
 
+def test_equal_halves_of_word_hashes_do_not_match(spark, monkeypatch):
+    """Words whose hashes agree in the low 32 bits are different words."""
+    plain = S.WordHashes.__call__
+    monkeypatch.setattr(S, "REMEMBERED", 10_000)
+    words = [f"w{k}" for k in range(40)]
+    hashes = {w.encode(): h for w, h in zip(words, plain(S.WordHashes(), [w.encode() for w in words]).tolist())}
+    auto, one = S.Automaton(), [hashes[w.encode()] for w in words]
+    other = one[:]
+    other[20] ^= 1 << 40
+    auto.add(one)
+    assert max(auto.statistics(other)) < 21 and (one[20] & 0xFFFFFFFF) == (other[20] & 0xFFFFFFFF)
+    texts = [" ".join(words), " ".join([*words[:20], "else", *words[21:]])]
+    got = {r["id"]: r["n_removed"] for r in S.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length=12, gram=4).collect()}
+    assert got == {0: 0, 1: 39}
+
+
 def test_empty_table(spark):
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

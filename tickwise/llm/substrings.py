@@ -174,42 +174,62 @@ def _repeated_anchors(source: DataFrame, copies: DataFrame, length: int, gram: i
 
 
 def _pieces(suspects: DataFrame, length: int, gram: int) -> DataFrame:
-    """The segments of repeated anchors, with a fingerprint and the low halves of their words' hashes."""
+    """The segments of repeated anchors, each with a fingerprint of its words."""
 
     def step(batches):
         hashes = WordHashes()
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("anchor", "id", "first", "count", "same", "words")}
+            out: dict[str, list] = {k: [] for k in ("anchor", "id", "first", "count", "same")}
             for i, t, wanted in zip(b["id"], b["t"], b["anchors"]):
                 h = hashes(t.split())
-                low = h.astype(np.int32)
                 a, first, count = segments(h, length, gram)
                 for k in np.flatnonzero(np.isin(a, np.array(wanted, np.int64))):
                     end = first[k] + count[k] + length - 1
-                    for key, v in zip(out, (int(a[k]), i, int(first[k]), int(count[k]), _fingerprint(h[first[k] : end]), low[first[k] : end].tobytes())):
+                    for key, v in zip(out, (int(a[k]), i, int(first[k]), int(count[k]), _fingerprint(h[first[k] : end]))):
                         out[key].append(v)
             yield out
 
-    return map_columns(suspects.select("id", "t", "anchors"), step, "anchor long, id long, first int, count int, same binary, words binary")
+    return map_columns(suspects.select("id", "t", "anchors"), step, "anchor long, id long, first int, count int, same binary")
+
+
+def _worded(suspects: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """``wanted`` (anchor, id, first, count, crowded) with the 64-bit hashes of each segment's words, taken from its text again."""
+
+    def step(batches):
+        hashes = WordHashes()
+        for b in batches:
+            out: dict[str, list] = {k: [] for k in ("anchor", "id", "first", "count", "crowded", "words")}
+            for i, t, *own in zip(b["id"], b["t"], b["anchors"], b["firsts"], b["counts"], b["crowds"]):
+                h = hashes(t.split())
+                for anchor, first, count, crowded in zip(*own):
+                    for key, v in zip(out, (anchor, i, first, count, bool(crowded), h[first : first + count + length - 1].tobytes())):
+                        out[key].append(v)
+            yield out
+
+    lists = {"anchors": "anchor", "firsts": "first", "counts": "count", "crowds": "crowded"}
+    mine = wanted.groupBy("id").agg(F.collect_list(F.struct("anchor", "first", "count", F.col("crowded").cast("int").alias("crowded"))).alias("x")).select(F.col("id").alias("__id"), "x")
+    one = suspects.select("id", "t").join(mine, F.col("id") == F.col("__id")).select("id", "t", *[F.col(f"x.{c}").alias(name) for name, c in lists.items()])
+    return map_columns(one, step, "anchor long, id long, first int, count int, crowded boolean, words binary")
 
 
 def repeated_windows(suspects: DataFrame, length: int = 20, gram: int = GRAM) -> DataFrame:
     """(id, first, count): runs of window starts whose words also start earlier, in a smaller id or before in the same.
 
-    suspects: (id, t, anchors). Of equal segments only the earliest, with its words, goes on to the automata; the
-    others start later, window for window. An anchor with very many different segments (a phrase that a large part
-    of the documents share) is not left to one task: its windows are told apart by their own fingerprints.
+    suspects: (id, t, anchors). Of equal segments only the earliest goes on to the automata, with its words; the
+    others start later, window for window. Anchors with one distinct segment need no automaton, so their words stay where
+    they are. An anchor with very many different segments (a phrase that a large part of the documents share) is not left
+    to one task: its windows are told apart by their own fingerprints.
     """
     pieces = materialize(_pieces(suspects, length, gram))
     place = F.struct("id", "first")
-    earliest = materialize(pieces.groupBy("anchor", "same").agg(F.min(F.struct("id", "first", "count")).alias("at"), F.min("words").alias("words"), F.count("*").alias("n")))
-    copies = pieces.select("anchor", "same", "id", "first", "count").join(earliest.where("n > 1").select("anchor", "same", "at"), ["anchor", "same"])
+    earliest = materialize(pieces.groupBy("anchor", "same").agg(F.min(F.struct("id", "first", "count")).alias("at"), F.count("*").alias("n")))
+    copies = pieces.join(earliest.where("n > 1").select("anchor", "same", "at"), ["anchor", "same"])
     later = copies.where((F.col("id") != F.col("at.id")) | (F.col("first") != F.col("at.first"))).select("id", "first", "count")
-    crowd = earliest.groupBy("anchor").count().where("count > 1")
-    unique = earliest.select("anchor", F.col("at.id").alias("id"), F.col("at.first").alias("first"), F.col("at.count").alias("count"), "words")
-    dealt = unique.join(crowd.select("anchor", (F.col("count") > CROWD).alias("crowded")), "anchor")
+    several = earliest.groupBy("anchor").count().where("count > 1").select("anchor", (F.col("count") > CROWD).alias("crowded"))
+    wanted = materialize(earliest.join(several, "anchor").select("anchor", "at.id", "at.first", "at.count", "crowded"))
+    dealt = materialize(_worded(suspects, wanted, length))
     streamed = _stream(dealt.where("not crowded"), length)
-    if crowd.where(F.col("count") > CROWD).isEmpty():
+    if wanted.where("crowded").isEmpty():
         return later.unionByName(streamed)
     single = materialize(_windows(dealt.where("crowded"), length))
     first = single.groupBy("key").agg(F.min(place).alias("at"), F.count("*").alias("n")).where("n > 1")
@@ -225,7 +245,7 @@ def _windows(pieces: DataFrame, length: int) -> DataFrame:
             out: dict[str, list] = {k: [] for k in ("key", "id", "first")}
             for anchor, i, first, count, words in zip(b["anchor"], b["id"], b["first"], b["count"], b["words"]):
                 for k in range(count):
-                    key = xxhash.xxh3_128_digest(anchor.to_bytes(8, "big", signed=True) + words[4 * k : 4 * (k + length)])
+                    key = xxhash.xxh3_128_digest(anchor.to_bytes(8, "big", signed=True) + words[8 * k : 8 * (k + length)])
                     for name, v in zip(out, (key, i, first + k)):
                         out[name].append(v)
             yield out
@@ -241,7 +261,7 @@ def _stream(dealt: DataFrame, length: int) -> DataFrame:
             for k, i, first, words in zip(b["anchor"], b["id"], b["first"], b["words"]):
                 if k != key:
                     key, auto = k, Automaton()
-                w = np.frombuffer(words, np.int32).tolist()
+                w = np.frombuffer(words, np.int64).tolist()
                 starts = [e - length + 1 for e, size in enumerate(auto.statistics(w)) if size >= length]
                 run = 0
                 for at, s in enumerate(starts):
@@ -270,9 +290,10 @@ def remove_repeats(docs: DataFrame, length: int = 20, gram: int = GRAM, id_col:
     """(id, n_words, n_removed, kept): every document without the words of windows that start earlier too.
 
     Windows are judged on the input. ``kept`` is the kept words joined by a space, or what ``finish`` makes of their
-    bytes. Null texts have no words; texts shorter than a window lose nothing; a document whose text a smaller id has
-    too loses all its windows. Rows that repeat an id are taken for one document, each returned by itself; rows without an
-    id lose nothing. An empty table gives no rows. Texts cross the network once, those with repeated anchors twice.
+    bytes. Null texts have no words, very long ones count whole; texts shorter than a window lose nothing; a document whose
+    text a smaller id has too loses all its windows. Rows that repeat an id are taken for one document, each returned by
+    itself; rows without an id lose nothing. An empty table gives no rows; other columns, whatever their names, are ignored.
+    Texts cross the network once, those with repeated anchors up to three times.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("t"))
     known = source.where("id is not null")
