@@ -18,8 +18,10 @@ def brute(rows, k):
 
 
 def test_matches_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "VECTORS", 60)
-    monkeypatch.setattr(topk, "QUERIES", 9)
+    monkeypatch.setattr(topk, "QUERY_BYTES", 1000)
+    monkeypatch.setattr(topk, "BLOCKS", 2)
+    monkeypatch.setattr(topk, "FIRST", 2)
+    monkeypatch.setattr(topk, "GROWTH", 2)
     rnd = random.Random(2)
     rows = [(i, [rnd.gauss(0, 1) for _ in range(8)]) for i in range(150)]
     same = rows[7][1]
@@ -35,3 +37,15 @@ def test_huge_values_and_empty_table(spark):
     df = spark.createDataFrame([(0, [3e38, 1.0]), (1, [-3e38, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [r["id"] for r in topk.top_k(df, F.col("id") == 0).orderBy("rank").collect()] == [2, 1]
     assert topk.top_k(df.limit(0), F.col("id") == 0).count() == 0
+
+
+def test_exact_vectors_are_read_until_the_result_is_certain(spark, monkeypatch):
+    """With fine cells a query reads its first slice and no more."""
+    rnd = random.Random(3)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(16)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    read, plain = [], topk.materialize
+    monkeypatch.setattr(topk, "materialize", lambda d: read.append(plain(d)) or read[-1])
+    assert {tuple(r) for r in topk.top_k(df, F.col("id") % 5 == 0, k=5).collect()} == brute(rows, 5)
+    asked = [d.count() for d in read if d.columns == ["qid", "vid"]]
+    assert 0 < asked[0] <= 120 * topk.FIRST and sum(asked) < 120 * 60

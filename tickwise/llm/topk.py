@@ -2,11 +2,14 @@
 
 Each vector is kept twice: exactly, and as a cell number per component. A scan of the cells alone bounds every
 score from below and above. The k-th best lower bound is a floor that drops nearly all vectors; the exact vectors of
-the rest are read in the order of their upper bounds until the k-th result cannot change.
+the rest are read in the order of their upper bounds, a slice of the order a round, until the k-th result cannot change.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,8 +21,10 @@ from tickwise.plans.shared import materialize
 from .common import map_columns
 
 CELLS = 256
-#: Vectors and queries in a block of the scan; a task holds one block of each at a time.
-VECTORS, QUERIES = 16_384, 2_048
+#: Bytes of query vectors that are broadcast at a time, and blocks of them that are scanned in one job.
+QUERY_BYTES, BLOCKS = 8 << 20, 8
+#: Exact vectors that a query reads in the first round; each round reads GROWTH times as many as the one before.
+FIRST, GROWTH = 16, 4
 
 
 def scaled(rows: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
@@ -78,6 +83,8 @@ def top_k(rows: DataFrame, is_query, k: int = 5, scale: float = 256.0, id_col: s
     all. Vectors of other lengths than the query's do not compare. Rows that repeat an id and vector count once, and
     an id is never its own result. Equal vectors are scanned once: the smallest k + 1 ids of a vector are all that
     can be among the best k of any query, so a vector that a third of the rows share costs no more than another.
+    Null vectors, vectors with null or non-finite components and null ids take no part, an empty table gives no rows, and
+    other columns, whatever their names, are ignored.
     """
     known = materialize(scaled(rows, id_col, vec_col, scale).distinct())
     first = known.withColumn("n", F.row_number().over(W.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
@@ -92,55 +99,94 @@ def top_k(rows: DataFrame, is_query, k: int = 5, scale: float = 256.0, id_col: s
 
     va = materialize(map_columns(exact.select("vid", "v"), approximate, "vid long, d int, cells binary"))
     queries = materialize(asked.select("vid").distinct().join(exact, "vid").select(F.col("vid").alias("qid"), F.col("v").alias("q")))
-    n_blocks, q_blocks = max(1, -(-va.count() // VECTORS)), max(1, -(-queries.count() // QUERIES))
-    left = va.withColumn("vb", F.pmod(F.xxhash64("vid"), F.lit(n_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    right = queries.withColumn("d", F.size("q")).withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    keep = k + 1
-    schema = pa.schema([("qid", pa.int64()), ("vid", pa.int64()), ("low", pa.float64()), ("high", pa.float64())])
-
-    def scan(vectors: pa.Table, asking: pa.Table) -> pa.Table:
-        n, m = vectors.num_rows, asking.num_rows
-        if not n or not m:
-            return schema.empty_table()
-        vid, qid = vectors["vid"].to_numpy(), asking["qid"].to_numpy()
-        d = vectors["d"][0].as_py()
-        q = np.array(asking["q"].to_pylist(), np.float64).reshape(m, d)
-        up, down = np.maximum(q, 0), np.minimum(q, 0)
-        best = np.full((m, keep), -np.inf)
-        parts = []
-        cells = vectors["cells"].to_pylist()
-        for a in range(0, n, 1024):
-            part = np.frombuffer(b"".join(cells[a : a + 1024]), np.uint8).reshape(-1, d) if d else np.zeros((min(1024, n - a), 0), np.uint8)
-            lo, hi = _bounds(part, *marks[d]) if d else (part.astype(float), part.astype(float))
-            low, high = up @ lo.T + down @ hi.T, up @ hi.T + down @ lo.T
-            big = np.abs(high) > 2.0**52
-            low, high = np.where(big, low - np.abs(low) * 1e-9, low), np.where(big, high + np.abs(high) * 1e-9, high)
-            best = -np.partition(-np.concatenate([best, low], axis=1), keep - 1, axis=1)[:, :keep]
-            at, which = np.nonzero(high >= best.min(axis=1)[:, None])
-            parts.append((at, vid[a + which], low[at, which], high[at, which]))
-        at, v, low, high = (np.concatenate(x) for x in zip(*parts))
-        still = high >= best.min(axis=1)[at]
-        return pa.Table.from_arrays([pa.array(x) for x in (qid[at[still]], v[still], low[still], high[still])], schema=schema)
-
-    near = materialize(left.groupBy("d", "vb", "qb").cogroup(right.groupBy("d", "vb", "qb")).applyInArrow(scan, "qid long, vid long, low double, high double"))
-    floor = near.withColumn("n", F.row_number().over(W.partitionBy("qid").orderBy(F.col("low").desc(), "vid"))).where(F.col("n") == keep).select("qid", F.col("low").alias("floor"))
-    left_over = near.join(floor, "qid", "left").where("floor is null or high >= floor").select("qid", "vid", "high")
-    read = left_over.join(exact, "vid").join(queries, "qid").select("qid", "q", "high", "v", "ids")
-    out = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.int64())])
-
-    def refine(table: pa.Table) -> pa.Table:
-        rows = table.sort_by([("high", "descending")])
-        q = np.array(rows["q"][0].as_py(), np.int64)
-        found: list[tuple[int, int]] = []
-        for high, v, ids in zip(rows["high"].to_pylist(), rows["v"], rows["ids"]):
-            if len(found) >= keep and high < -found[keep - 1][0]:
-                break
-            score = dot(q, np.array(v.as_py(), np.int64))
-            found = sorted(found + [(-score, i) for i in ids.as_py()])[:keep]
-        qid = rows["qid"][0].as_py()
-        return pa.Table.from_pydict({"qid": [qid] * len(found), "id": [i for _, i in found], "score": [-s for s, _ in found]}, schema=out)
-
-    best = read.groupBy("qid").applyInArrow(refine, "qid long, id long, score long")
+    near = [materialize(reduce(DataFrame.unionByName, some)) for some in _scans(va, queries, marks, k + 1)]
+    best = _refined(reduce(DataFrame.unionByName, near) if near else va.select(F.col("vid").alias("qid"), "vid", F.lit(0.0).alias("low"), F.lit(0.0).alias("high")).limit(0), exact, queries, k + 1)
     mine = asked.select(F.col("id").alias("query_id"), F.col("vid").alias("qid")).join(best, "qid").where("query_id <> id")
     ranked = mine.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
+def _scans(va: DataFrame, queries: DataFrame, marks: dict, keep: int) -> Iterator[list[DataFrame]]:
+    """For each block of queries a scan of all cells: (qid, vid, low, high) of what a task could not rule out.
+
+    The cells stay where they are; a block of queries, of bounded bytes, is broadcast to them, and only survivors are written.
+    """
+    sc = va.sparkSession.sparkContext
+    size = queries.agg(F.sum(F.size("q") * 8 + 64)).first()[0] or 0
+    blocks, some = -(-int(size) // QUERY_BYTES), []
+    for n in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == n).toArrow()
+        asking: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        lengths = np.array([len(q) for q in rows["q"]])
+        for d in np.unique(lengths) if len(lengths) else ():
+            at = np.flatnonzero(lengths == d)
+            asking[int(d)] = rows["qid"].to_numpy()[at], np.array([rows["q"][int(i)].as_py() for i in at], np.float64).reshape(len(at), d)
+        some.append(_scan(va, sc.broadcast(asking), marks, keep))
+        if len(some) == BLOCKS:
+            yield some
+            some = []
+    if some:
+        yield some
+
+
+def _scan(va: DataFrame, asking, marks: dict, keep: int) -> DataFrame:
+    schema = pa.schema([("qid", pa.int64()), ("vid", pa.int64()), ("low", pa.float64()), ("high", pa.float64())])
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {d: np.full((len(qid), keep), -np.inf) for d, (qid, _) in asking.value.items()}
+        found: dict[int, list] = {d: [] for d in best}
+        for b in batches:
+            vids, ds, cells = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
+            for d, (_, q) in asking.value.items():
+                mine = np.flatnonzero(ds == d)
+                for a in range(0, len(mine), 1024):
+                    at = mine[a : a + 1024]
+                    part = np.frombuffer(b"".join(cells[int(i)].as_py() for i in at), np.uint8).reshape(len(at), d)
+                    lo, hi = _bounds(part, *marks[d]) if d else (part.astype(float), part.astype(float))
+                    up, down = np.maximum(q, 0), np.minimum(q, 0)
+                    low, high = up @ lo.T + down @ hi.T, up @ hi.T + down @ lo.T
+                    big = np.abs(high) > 2.0**52
+                    low, high = np.where(big, low - np.abs(low) * 1e-9, low), np.where(big, high + np.abs(high) * 1e-9, high)
+                    best[d] = -np.partition(-np.concatenate([best[d], low], axis=1), keep - 1, axis=1)[:, :keep]
+                    which, hit = np.nonzero(high >= best[d].min(axis=1)[:, None])
+                    found[d].append((which, vids[at[hit]], low[which, hit], high[which, hit]))
+        for d, parts in found.items():
+            if parts:
+                which, vid, low, high = (np.concatenate(x) for x in zip(*parts))
+                still = high >= best[d].min(axis=1)[which]
+                columns = asking.value[d][0][which[still]], vid[still], low[still], high[still]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=schema)
+
+    return va.mapInArrow(step, "qid long, vid long, low double, high double")
+
+
+def _refined(near: DataFrame, exact: DataFrame, queries: DataFrame, keep: int) -> DataFrame:
+    """(qid, id, score): each query's ``keep`` best. Rounds read slices of the candidates in the order of their upper bounds.
+
+    A query is done when the next upper bound is under its last score; others go on with a slice GROWTH times as long.
+    """
+    floor = near.withColumn("n", F.row_number().over(W.partitionBy("qid").orderBy(F.col("low").desc(), "vid"))).where(F.col("n") == keep).select("qid", F.col("low").alias("floor"))
+    left_over = near.join(floor, "qid", "left").where("floor is null or high >= floor")
+    ranked = materialize(left_over.select("qid", "vid", "high", F.row_number().over(W.partitionBy("qid").orderBy(F.col("high").desc(), "vid")).alias("n")))
+    best = materialize(queries.limit(0).select("qid", F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("score")))
+    done, upto = 0, FIRST
+
+    def scored(batches):
+        for b in batches:
+            yield {"qid": b["qid"], "ids": b["ids"], "score": [dot(np.array(q, np.int64), np.array(v, np.int64)) for q, v in zip(b["q"], b["v"])]}
+
+    while True:
+        last = best.groupBy("qid").agg(F.count("*").alias("have"), F.min("score").alias("last"))
+        open_ = ranked.where(F.col("n") > done).join(last, "qid", "left").where((F.coalesce("have", F.lit(0)) < keep) | (F.col("high") >= F.col("last")))
+        asked = materialize(open_.where(F.col("n") <= upto).select("qid", "vid"))
+        if asked.isEmpty():
+            if done and open_.isEmpty():
+                return best
+            if not done and ranked.isEmpty():
+                return best
+        read = asked.join(exact, "vid").join(queries, "qid").select("qid", "ids", "q", "v")
+        new = map_columns(read, scored, "qid long, ids array<long>, score long").select("qid", F.explode("ids").alias("id"), "score")
+        both = best.unionByName(new)
+        order = W.partitionBy("qid").orderBy(F.col("score").desc(), "id")
+        best = materialize(both.withColumn("n", F.row_number().over(order)).where(F.col("n") <= keep).drop("n"))
+        done, upto = upto, upto * GROWTH
