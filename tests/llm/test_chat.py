@@ -46,3 +46,13 @@ def test_shared_turns_are_written_once(spark):
 
 def test_empty_table(spark):
     assert chat.formatted(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_a_large_tree_is_cut_by_subtree(spark):
+    """Packs have only the turns above a cut in common: none below the second turn of these is written more than twice."""
+    rows = [(c, 0, "user", "opening " * 30) for c in range(240)] + [(c, 1, "assistant", f"branch {c // 40} " * 20) for c in range(240)] + [(c, 2, "user", f"twig {c // 4} " * 10) for c in range(240)] + [(c, 3, "assistant", f"own {c}") for c in range(240)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    packs = [r["text"] for r in chat.format_packs(df, chat.paths(df), pack_chars=20_000).collect()]
+    written = lambda what: sum(p.count("\n" + what) for p in packs)
+    assert len(packs) > 5 and sum(p.count("opening opening " * 15) for p in packs) == len(packs)
+    assert written("branch ") <= 6 + len(packs) and written("twig ") <= 60 + len(packs) and written("own ") == 240

@@ -21,8 +21,11 @@ from .common import map_columns
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 #: Strings that some chat template takes for control, escaped inside texts. None has a backslash or n second.
 CONTROL = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
-#: Characters of distinct conversations in a pack; a larger tree is dealt to several packs, each with the shared turns once.
+#: Characters of distinct conversations in a pack. A larger tree is cut between conversations in depth-first order, so two
+#: packs have in common the turns above the cut and no others.
 PACK = 400_000
+#: Turns, and bytes of a turn's digest, by which conversations are put in that order.
+DEPTH, HEAD = 48, 4
 
 _CONTROL = re.compile(r"\\|" + "|".join(map(re.escape, CONTROL)))
 _TURN = re.compile(re.escape(OPEN) + r"([^\n]*)\n(.*?)" + re.escape(CLOSE), re.S)
@@ -106,28 +109,30 @@ def _chain(role: str, text: str, before: bytes) -> bytes:
 
 
 def paths(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv, root, leaf, chars) per conversation: digests of its first turn and of all its turns in order.
+    """(conv, root, leaf, path, chars) per conversation: digests of its first turn and of all its turns in order.
 
-    The rows of a conversation stream past in order; nothing but the running digest is held.
+    path puts together the heads of the digests on the way, so conversations in its order are in depth-first order of
+    the tree of turns. The rows of a conversation stream past in order; nothing but the running digest and path is held.
     """
 
     def step(batches):
-        now, some, state = None, False, (b"", b"", 0)
+        now, some, state = None, False, (b"", b"", b"", 0)
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("conv", "root", "leaf", "chars")}
+            out: dict[str, list] = {k: [] for k in ("conv", "root", "leaf", "path", "chars")}
             for conv, role, text in zip(b["conv"], b["role"], b["text"]):
                 if some and conv != now:
                     for name, v in zip(out, (now, *state)):
                         out[name].append(v)
                 if not some or conv != now:
-                    now, some, state = conv, True, (b"", b"", 0)
+                    now, some, state = conv, True, (b"", b"", b"", 0)
                 key = _chain(role, text, state[1])
-                state = (state[0] or key, key, state[2] + len(role) + len(text) + 24)
+                path = state[2] + key[:HEAD] if len(state[2]) < DEPTH * HEAD else state[2]
+                state = (state[0] or key, key, path, state[3] + len(role) + len(text) + 24)
             yield out
         if some:
-            yield {"conv": [now], "root": [state[0]], "leaf": [state[1]], "chars": [state[2]]}
+            yield {"conv": [now], "root": [state[0]], "leaf": [state[1]], "path": [state[2]], "chars": [state[3]]}
 
-    return map_columns(_ordered(_rows(conversations, conv_col, turn_col, role_col, text_col), ["conv"]), step, "conv long, root binary, leaf binary, chars long")
+    return map_columns(_ordered(_rows(conversations, conv_col, turn_col, role_col, text_col), ["conv"]), step, "conv long, root binary, leaf binary, path binary, chars long")
 
 
 def _rows(conversations: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
@@ -139,19 +144,40 @@ def _ordered(rows: DataFrame, group: list[str]) -> DataFrame:
     return rows.repartition(parts, *group).sortWithinPartitions(*dict.fromkeys([*group, "conv"]), "turn", "role", "text")
 
 
+def _cut(one: DataFrame, pack_chars: int) -> DataFrame:
+    """(leaf, conv, pack): distinct conversations in depth-first order, cut where a root ends or ``pack_chars`` would be passed.
+
+    A range sort deals them, so a root that most conversations share lies in many tasks; its packs end there, too.
+    """
+
+    def step(batches):
+        root, size, pack = None, 0, -1
+        for b in batches:
+            packs = []
+            for part, own, chars in zip(b["part"], b["root"], b["chars"]):
+                if own != root or size + chars > pack_chars:
+                    root, size, pack = own, 0, pack + 1
+                size += chars
+                packs.append((part << 40) + pack)
+            yield {"leaf": b["leaf"], "conv": b["conv"], "pack": packs}
+
+    dealt = one.repartitionByRange("root", "path", "leaf").sortWithinPartitions("root", "path", "leaf").withColumn("part", F.spark_partition_id().cast("long"))
+    return materialize(map_columns(dealt.select("leaf", "conv", "root", "chars", "part"), step, "leaf binary, conv long, pack long"))
+
+
 def format_packs(conversations: DataFrame, known: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", pack_chars: int = PACK) -> DataFrame:
     """One row a pack: its text and, per turn, start, end, parent, first position id, loss span and ancestor intervals.
 
     known: paths(). Of conversations with equal turns one is written. ``spans`` are the intervals of all turns end to
     end, ``span_ends`` where each turn's stop; ``leaves`` and ``leaf_turns`` say where each conversation ends.
+    A conversation is never cut, however long it is.
     """
-    one = known.groupBy("leaf").agg(F.min(F.struct("conv", "root", "chars")).alias("at")).select("leaf", F.col("at.conv").alias("conv"), F.col("at.root").alias("root"), F.col("at.chars").alias("chars"))
-    split = one.groupBy("root").agg(F.ceil(F.sum("chars") / pack_chars).alias("packs")).withColumnRenamed("root", "__root")
-    placed = one.join(split, F.col("root") == F.col("__root")).select("leaf", "conv", "root", F.pmod(F.xxhash64("leaf"), F.greatest("packs", F.lit(1))).alias("part"))
+    one = known.groupBy("leaf").agg(F.min(F.struct("conv", "root", "path", "chars")).alias("at")).select("leaf", "at.*")
+    placed = _cut(one, pack_chars)
     rows = _rows(conversations, conv_col, turn_col, role_col, text_col).join(placed.withColumnRenamed("conv", "__conv"), F.col("conv").eqNullSafe(F.col("__conv"))).drop("__conv")
 
     def step(batches):
-        now, conv, pack, at, key, leaf = None, None, Pack(), 0, b"", None
+        now, pack, at, key, leaf = None, Pack(), 0, b"", None
 
         def done():
             text, turns, leaves = pack.lay_out()
@@ -165,12 +191,12 @@ def format_packs(conversations: DataFrame, known: DataFrame, conv_col: str = "co
             }
 
         for b in batches:
-            for root, part, c, of, role, text in zip(b["root"], b["part"], b["conv"], b["leaf"], b["role"], b["text"]):
-                if (root, part) != now:
+            for own, of, role, text in zip(b["pack"], b["leaf"], b["role"], b["text"]):
+                if own != now:
                     if now is not None:
                         pack.leaves[leaf] = at
                         yield done()
-                    now, pack, leaf = (root, part), Pack(), None
+                    now, pack, leaf = own, Pack(), None
                 if of != leaf:
                     if leaf is not None:
                         pack.leaves[leaf] = at
@@ -181,8 +207,8 @@ def format_packs(conversations: DataFrame, known: DataFrame, conv_col: str = "co
             pack.leaves[leaf] = at
             yield done()
 
-    ordered = _ordered(rows, ["root", "part"])
-    return map_columns(ordered.select("root", "part", "conv", "leaf", "role", "text"), step, "text string, starts array<long>, ends array<long>, parents array<long>, positions array<long>, mask array<long>, spans array<long>, span_ends array<long>, leaves array<string>, leaf_turns array<long>")
+    ordered = _ordered(rows, ["pack"])
+    return map_columns(ordered.select("pack", "leaf", "role", "text"), step, "text string, starts array<long>, ends array<long>, parents array<long>, positions array<long>, mask array<long>, spans array<long>, span_ends array<long>, leaves array<string>, leaf_turns array<long>")
 
 
 def read_back(packs: DataFrame) -> DataFrame:
@@ -221,7 +247,8 @@ def formatted(conversations: DataFrame, **columns: str) -> DataFrame:
     """(conv, ...) with the digests of every conversation, read back from the packs.
 
     Turns go by number, ties by role and then text; null roles and texts are empty, null turns come first, rows without a
-    conversation id form one conversation. Repeated rows are turns of their own. An empty table gives no rows.
+    conversation id form one conversation. Repeated rows are turns of their own; texts of any length count whole. An empty
+    table gives no rows; other columns, whatever their names, are ignored.
     """
     known = materialize(paths(conversations, **columns))
     packs = materialize(format_packs(conversations, known, **columns))
