@@ -1,12 +1,15 @@
+import os
 import random
 
 from pyspark.sql import functions as F
 
 from tickwise.llm import tokens
 
+VOCABULARY = os.path.join(os.environ.get("TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.tiktoken")
+
 
 def tokenizer():
-    with open(tokens.VOCABULARY) as f:
+    with open(VOCABULARY) as f:
         return tokens.Tokenizer(tokens.Tokenizer.ranks(f.read().split("\n")))
 
 
@@ -39,7 +42,7 @@ def test_query_over_documents(spark):
     tok = tokenizer()
     edits = tokens.sample_edits()
     want = sorted((r["doc_id"], len(tok.encode(r["text"] or "")), [tuple(e) for e in r["e"]], r["text"] or "") for r in df.withColumn("e", edits).collect())
-    got = sorted(tokens.count_edits(df, edits, keep_text=True).collect())
+    got = sorted(tokens.count_edits(df, edits, VOCABULARY, keep_text=True).collect())
     assert len(got) == len(want)
     for g, (i, n, es, t) in zip(got, want):
         for at, drop, put in es:
@@ -47,6 +50,6 @@ def test_query_over_documents(spark):
             t = t[:at] + put + t[at + drop :]
         assert (g["id"], g["n_tokens"], g["text"], g["n_tokens_after"], g["n_chars_after"]) == (i, n, t, len(tok.encode(t)), len(t))
         assert g["encoded_chars"] <= 1500
-    assert tokens.count_edits(df.limit(0), edits).count() == 0
-    nothing = tokens.count_edits(df, F.lit(None).cast("array<struct<at:long,drop:long,put:string>>"))
+    assert tokens.count_edits(df.limit(0), edits, VOCABULARY).count() == 0
+    nothing = tokens.count_edits(df, F.lit(None).cast("array<struct<at:long,drop:long,put:string>>"), VOCABULARY)
     assert nothing.where("n_tokens <> n_tokens_after").count() == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,7 +63,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import count_edits, sample_edits
 
-    found = count_edits(table(spark, sf_dir, "documents"), sample_edits())
+    vocabulary = os.path.join(os.environ.get("TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.tiktoken")
+    found = count_edits(table(spark, sf_dir, "documents"), sample_edits(), vocabulary)
     return found.withColumnRenamed("id", "doc_id")
 
 

@@ -22,7 +22,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 BLOCK, GROWN = 64, 192
 #: Pre-tokens whose counts a worker remembers; it starts over beyond that.
 REMEMBERED = 300_000
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+_tokenizers: dict[str, Tokenizer] = {}
 
 
 class Tokenizer:
@@ -47,6 +47,13 @@ class Tokenizer:
         return [seen[p] for p in pieces]
 
 
+def tokenizer(name: str, lines: list[str]) -> Tokenizer:
+    """A worker's tokenizer of a vocabulary, built once."""
+    if name not in _tokenizers:
+        _tokenizers[name] = Tokenizer(Tokenizer.ranks(lines))
+    return _tokenizers[name]
+
+
 class Tree:
     """Blocks of (text, pre-token lengths, pre-token counts) under sums of characters and tokens."""
 
@@ -204,16 +211,17 @@ class Tree:
         return "".join(b[0] for b in self.blocks)
 
 
-def count_edits(docs: DataFrame, edits: Column, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, keep_text: bool = False) -> DataFrame:
+def count_edits(docs: DataFrame, edits: Column, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """(id, n_tokens, n_tokens_after, n_chars_after, encoded_chars): counts before and after each document's edits.
 
     edits: array of structs (at, drop, put) over the columns of ``docs``, applied in turn; at and drop count
     characters and are cut to the text; a null array, or nulls in it, change nothing there. encoded_chars says how many
-    characters were encoded again. Null texts count as empty. The vocabulary file is read by Spark and broadcast (1 MB).
-    With ``keep_text``, the edited text follows.
+    characters were encoded again. Null texts count as empty, very long ones whole; repeated rows stay, an empty table gives
+    no rows, and other columns are ignored unless ``edits`` reads them. The vocabulary, a file of the driver (about 1 MB), is
+    broadcast. With ``keep_text``, the edited text follows.
     """
-    spark = docs.sparkSession
-    lines = spark.sparkContext.broadcast([r["value"] for r in spark.read.text(f"file://{vocabulary}" if vocabulary.startswith("/") else vocabulary).collect()])
+    with open(vocabulary, encoding="ascii") as file:
+        lines = docs.sparkSession.sparkContext.broadcast(file.read().splitlines())
     given = F.coalesce(edits, F.array().cast("array<struct<at:long,drop:long,put:string>>"))
 
     def part(name: str, default) -> Column:
@@ -222,7 +230,7 @@ def count_edits(docs: DataFrame, edits: Column, id_col: str = "doc_id", text_col
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), part("at", 0), part("drop", 0), part("put", ""))
 
     def step(batches):
-        tok = Tokenizer(Tokenizer.ranks(lines.value))
+        tok = tokenizer(vocabulary, lines.value)
         for b in batches:
             out: dict[str, list] = {k: [] for k in ("id", "n_tokens", "n_tokens_after", "n_chars_after", "encoded_chars", "text")}
             for i, t, ats, drops, puts in zip(b["id"], b["t"], b["at"], b["drop"], b["put"]):
