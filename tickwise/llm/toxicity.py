@@ -24,6 +24,8 @@ from .training import labelled_sample
 PER_CLASS, MAX_BYTES = 2500, 60_000
 BUCKETS, DIM, EPOCHS, BATCH, RATE = 1 << 20, 4, 12, 64, 0.3
 SHORT, LONG = 3, 8
+#: Bytes of a word beyond which its n-grams are taken piece by piece.
+LONG_WORD = 10_000
 #: Least chi-square of a row that is trained, and the factor that brings shares of a document to the order of one.
 UNEVEN, SCALE = 20.0, 30.0
 #: Words whose scores a worker remembers; it starts over beyond that.
@@ -32,8 +34,19 @@ _EDGES = b".,;:!?\"'()[]{}<>*#$%&-_"
 
 
 def subwords(word: bytes) -> list[int]:
-    """Rows of a lower-case word and of its 3- to 8-grams of bytes, ends marked. A very long word counts whole, its n-grams once."""
+    """Rows of a lower-case word and of its 3- to 8-grams of bytes, ends marked, each once.
+
+    Of a very long word no n-gram is held: its rows are marked in a bit map as its pieces pass, so it takes as much memory
+    as the table has rows, however long it is.
+    """
     w = b"<" + word + b">"
+    if len(w) > LONG_WORD:
+        seen = np.zeros(BUCKETS, bool)
+        seen[crc32(w) & (BUCKETS - 1)] = True
+        for n in range(SHORT, LONG + 1):
+            for a in range(0, len(w) - n + 1, LONG_WORD):
+                seen[[crc32(w[i : i + n]) & (BUCKETS - 1) for i in range(a, min(a + LONG_WORD, len(w) - n + 1))]] = True
+        return np.flatnonzero(seen).tolist()
     grams = {w[i : i + n] for n in range(SHORT, LONG + 1) for i in range(len(w) - n + 1)}
     grams.add(w)
     return [crc32(g) & (BUCKETS - 1) for g in grams]
