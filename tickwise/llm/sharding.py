@@ -61,9 +61,8 @@ def kd_shards(meta: DataFrame, dims: list[str], weight: str, tie: str, shards: i
     nodes = meta.sparkSession.range(1).select(F.col("id").alias("node"), F.lit(n_shards).cast("long").alias("leaves"))
     for _ in range((n_shards - 1).bit_length()):
         # written level by level: nested, the choice of a node would be a plan that grows with the depth
-        cuts = materialize(_weighted_quantiles(keyed, keys, weight, _axes(keyed, nodes, keys, weight)))
+        cuts = _weighted_quantiles(keyed, keys, weight, _axes(keyed, nodes, keys, weight))
         nodes = nodes.where("leaves = 1").unionByName(cuts.select(F.explode(F.array(F.struct("node", F.col("half").alias("leaves")), F.struct((F.col("node") + F.col("half")).alias("node"), (F.col("leaves") - F.col("half")).alias("leaves")))).alias("x")).select("x.*"))
-        nodes = materialize(nodes)
         chosen = F.element_at(F.array(*keys), F.col("axis") + 1)
         moved = keyed.join(cuts.select("node", "axis", "half", "cut"), "node", "left").withColumn("node", F.col("node") + F.when(chosen > F.col("cut"), F.col("half")).otherwise(0))
         level = Shared(moved.drop("axis", "half", "cut"))
