@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tickwise import catalogue, protocols  # noqa: F401
+from tickwise import catalogue, language, protocols  # noqa: F401
 
 TABLES = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 

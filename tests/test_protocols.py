@@ -77,7 +77,7 @@ def test_precedence_fresh_choice_and_own_aggregates(spark):
     many = spark.range(200).selectExpr("id % 4 as k", "id as v")
     draws = [rows(choice.choose_fresh(many, ("k",), "n", 0, t)) for t in (1, 1, 2)]
     assert draws[0] == draws[1] != draws[2]
-    total = choice.user_aggregate(many, ("k",), F.lit(0).cast("long"), lambda s, x: s + x["v"], lambda s, t: s + t, lambda s: s, "t", parts=3)
+    total = choice.user_aggregate(many, ("k",), F.lit(0).cast("long"), lambda s, x: s + x["v"], lambda s, t: s + t, lambda s: s, "t", part_rows=40, fan_in=2)
     assert rows(total) == [(k, sum(range(k, 200, 4))) for k in range(4)]
 
 

@@ -1,4 +1,4 @@
-"""Golden programs: small relations with known answers."""
+"""Golden programs: small relations with known answers. Their rows and expected rows are fixed values."""
 
 import pytest
 

@@ -5,6 +5,7 @@ Money columns are doubles; sums over them are taken in whole cents, exact and in
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -184,16 +185,17 @@ def join_star(spark, d):
     return ask("nation s", ("nation", "s"), body, _sales(spark, d))
 
 
-@query("SELECT DISTINCT a.l_suppkey AS s, b.l_suppkey AS t FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_suppkey < b.l_suppkey AND a.l_quantity > 40 AND b.l_quantity > 40")
+@query("SELECT DISTINCT a.l_suppkey AS s, b.l_suppkey AS t FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_suppkey < b.l_suppkey")
 def self_join(spark, d):
-    li = read(spark, d, "lineitem").where("l_quantity > 40").select("l_orderkey", "l_suppkey")
+    li = read(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
     return ask("s t", ("s", "t"), (Atom("li", ("o", "s")), Atom("li", ("o", "t")), Guard("$s < $t")), {"li": li})
 
 
-@query("SELECT a.s_suppkey AS s, b.p_partkey AS p FROM supplier a JOIN part b ON b.p_size * 200 > a.s_acctbal AND a.s_acctbal > 9000 AND b.p_size > 48")
+@query("SELECT DISTINCT s_suppkey AS s, p_size AS z FROM supplier JOIN part ON p_size * 200 > s_acctbal")
 def theta_join(spark, d):
-    base = {"s": read(spark, d, "supplier").where("s_acctbal > 9000").select("s_suppkey", "s_acctbal"), "p": read(spark, d, "part").where("p_size > 48").select("p_partkey", "p_size")}
-    return ask("s p", ("s", "p"), (Atom("s", ("s", "b")), Atom("p", ("p", "z")), Guard("$z * 200 > $b")), base)
+    base = {"s": read(spark, d, "supplier").select("s_suppkey", "s_acctbal"), "p": read(spark, d, "part").select("p_partkey", "p_size")}
+    rules = [Rule("size", ("z",), (Atom("p", (None, "z")),)), Rule("q", ("s", "z"), (Atom("s", ("s", "b")), Atom("size", ("z",)), Guard("$z * 200 > $b")))]
+    return run(rules, [Relation("size", ("z",)), Relation("q", ("s", "z"))], base, "q")
 
 
 def _micros(c: str) -> Column:
@@ -295,15 +297,16 @@ def agg_bool_avg_parts(spark, d):
     return ask("n total n_rows all_up some_down", ("n", Agg("sum", "b"), Agg("count"), Agg("and", "b > 0"), Agg("or", "b < 0")), (Atom("c", ("k", "n", "b")),), base)
 
 
-@query("SELECT l_returnflag AS f, CAST(quantile_disc(CAST(round(l_quantity * 100) AS BIGINT), 0.9) AS BIGINT) AS p90 FROM lineitem GROUP BY 1")
+@query("SELECT l_returnflag AS f, CAST(quantile_disc(q, 0.9) AS BIGINT) AS p90, round(avg(q), 6) AS mean FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag, CAST(round(l_quantity * 100) AS BIGINT) AS q FROM lineitem) GROUP BY 1")
 def agg_percentile(spark, d):
-    return read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("f")).agg(F.expr("percentile_disc(0.9) within group (order by cast(round(l_quantity * 100) as bigint))").cast("bigint").alias("p90"))
+    base = {"li": read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", cents("l_quantity").alias("q"))}
+    return ask("f p90 mean", ("f", Agg("percentile", "q", p=0.9), Agg("avg", "q")), (Atom("li", ("o", "n", "f", "q")),), base).withColumn("mean", F.round("mean", 6))
 
 
 @query("SELECT user_id AS u, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) AS ids FROM events WHERE event_type = 'signup' GROUP BY 1")
 def agg_collect_by(spark, d):
-    rows = _events(spark, d).where("event_type = 'signup'").groupBy(F.col("user_id").alias("u")).agg(F.array_sort(F.collect_list(F.struct("at", "event_id"))).alias("l"))
-    return rows.select("u", F.array_join(F.transform("l", lambda x: x["event_id"].cast("string")), ",").alias("ids"))
+    body = (Atom("e", {"event_id": "i", "at": "t", "user_id": "u", "event_type": Const("signup")}, rest=True),)
+    return ask("u ids", ("u", Agg("collect", "cast(i as string)", by=("t", "i"))), body, {"e": _events(spark, d)}).withColumn("ids", F.array_join("ids", ","))
 
 
 @query("SELECT user_id AS u, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM events GROUP BY 1")
@@ -314,16 +317,23 @@ def agg_collect_set(spark, d):
 @query("SELECT user_id AS u, string_agg(k || '=' || n, ',' ORDER BY k) AS counts FROM (SELECT user_id, event_type AS k, CAST(count(*) AS VARCHAR) AS n FROM events GROUP BY 1, 2) GROUP BY 1")
 def agg_collect_map(spark, d):
     rules = [Rule("n", ("u", "k", Agg("count")), (Atom("e", ("i", None, "u", "k", None)),))]
-    pairs = run(rules, [Relation("n", ("u", "k", "n"))], {"e": _events(spark, d)}, "n")
-    maps = pairs.groupBy("u").agg(F.map_from_entries(F.collect_set(F.struct("k", "n"))).alias("m"))
-    return maps.select("u", F.array_join(F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("counts"))
+    rules.append(Rule("m", ("u", Agg("map", ("k", "n"))), (Atom("n", ("u", "k", "n")),)))
+    maps = run(rules, [Relation("n", ("u", "k", "n")), Relation("m", ("u", "m"))], {"e": _events(spark, d)}, "m")
+    return maps.select("u", F.array_join(F.transform(S.map_entries(F.col("m")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("counts"))
 
 
-@query("SELECT n_nationkey AS n, count(s_suppkey) AS suppliers FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000 GROUP BY 1")
+@query("""SELECT n_nationkey AS n, count(s_suppkey) AS suppliers, coalesce(max(CAST(round(s_acctbal * 100) AS BIGINT)), -1) AS most, coalesce(string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY s_suppkey), '') AS keys
+FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000 GROUP BY 1""")
 def agg_default_driver(spark, d):
-    base = {"s": read(spark, d, "supplier").where("s_acctbal > 5000").select("s_suppkey", "s_nationkey")}
-    counted = ask("n suppliers", ("n", Agg("count")), (Atom("s", ("k", "n")),), base)
-    return joins.lookup(read(spark, d, "nation").select(F.col("n_nationkey").alias("n")), counted, ("n",), "suppliers", 0)
+    base = {"s": read(spark, d, "supplier").where("s_acctbal > 5000").select("s_suppkey", "s_nationkey", cents("s_acctbal").alias("b")), "nation": read(spark, d, "nation").select("n_nationkey", "n_name")}
+    rule = Rule("q", ("n", Agg("count"), Agg("max", "b", default="-1L"), Agg("collect", "cast(k as string)", by=("k",))), (Atom("s", ("k", "n", "b")),), per=Atom("nation", ("n", None)))
+    return run([rule], [Relation("q", ("n", "suppliers", "most", "keys"))], base, "q").withColumn("keys", F.array_join("keys", ","))
+
+
+@query("SELECT coalesce(max(r_regionkey), -1) AS most, count(*) AS n FROM region WHERE r_name = 'NOWHERE'")
+def agg_default_global(spark, d):
+    body = (Atom("r", ("k", Const("NOWHERE"))),)
+    return ask("most n", (Agg("max", "k", default="-1"), Agg("count", default="0L")), body, {"r": read(spark, d, "region").select("r_regionkey", "r_name")})
 
 
 @query("SELECT count(*) AS n FROM region WHERE r_name = 'NOWHERE' HAVING count(*) > 0")
@@ -365,11 +375,6 @@ def choose_least(spark, d):
     return choice.choose_best(_orders(spark, d), ("c",), F.col("p"))
 
 
-@query(f"SELECT c, o, p FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY p DESC, o) AS n FROM ({_ORD})) WHERE n = 1")
-def resolve_most(spark, d):
-    return choice.choose_best(_orders(spark, d), ("c",), F.col("p"), most=True)
-
-
 @query()
 def choose_seeded(spark, d):
     return choice.choose(_orders(spark, d), ("c",), seed=7)
@@ -389,12 +394,14 @@ def seq_numbers(spark, d):
     return choice.number_new(all_, assigned, [F.col("c").asc()])
 
 
-@query("SELECT user_id AS u, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS balance, count(*) AS steps FROM events GROUP BY 1")
+@query("""WITH e AS (SELECT user_id AS u, event_id, ts, CAST(round(value * 100) AS BIGINT) - 5000 AS v FROM events),
+s AS (SELECT *, sum(v) OVER (PARTITION BY u ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS total, row_number() OVER (PARTITION BY u ORDER BY ts DESC, event_id DESC) AS back FROM e)
+SELECT u, CAST(sum(CASE WHEN back = 1 THEN total ELSE 0 END) - least(0, min(total)) AS BIGINT) AS balance, count(*) AS steps FROM s GROUP BY 1""")
 def fold_ordered(spark, d):
+    """A balance that stops at zero on its way down, so the order of the steps counts."""
     rows = _events(spark, d).select(F.col("user_id").alias("u"), "at", "event_id", cents("value").alias("v"))
-    init = F.struct(F.lit(0).cast("bigint").alias("balance"), F.lit(0).cast("bigint").alias("steps"))
-    step = lambda s, x: F.struct((s["balance"] + x["v"]).alias("balance"), (s["steps"] + 1).alias("steps"))
-    return choice.fold(rows, ("u",), ["at", "event_id"], init, step, "f").select("u", "f.balance", "f.steps")
+    step = lambda s, x: (max(0, s[0] + x["v"] - 5000), s[1] + 1)
+    return choice.fold(rows, ("u",), ["at", "event_id"], (0, 0), step, lambda s: {"balance": s[0], "steps": s[1]}, "balance long, steps long")
 
 
 # ---- sets, weights and deltas
@@ -446,40 +453,44 @@ def zset_clamped(spark, d):
     return zset_weights(spark, d).withColumn("weight", F.greatest("weight", F.lit(0)))
 
 
-def _days(spark, d) -> list[DataFrame]:
-    ev = read(spark, d, "events").select("user_id", F.to_date("ts").alias("day"))
-    return [ev.where(F.col("day") == F.lit(x).cast("date")).select("user_id").distinct() for x in ("2024-01-10", "2024-01-11")]
+# ---- ticks
 
+def _script(spark, d, upto: str = "9999-12-31") -> list[dict[str, DataFrame]]:
+    """The events day by day: a tick for each day that has any, up to ``upto``. Bounds on ts reach the scan."""
+    ev = read(spark, d, "events")
+    days = [r["day"] for r in ev.select(F.to_date("ts").alias("day")).where(F.col("day") <= F.lit(upto).cast("date")).distinct().orderBy("day").collect()]
+    start = lambda x: F.lit(str(x)).cast("timestamp_ntz")
+    picked = [ev.where((F.col("ts") >= start(x)) & (F.col("ts") < start(x + datetime.timedelta(days=1)))) for x in days]
+    return [{"ev": e.select("event_id", "user_id", "event_type", cents("value").alias("v"))} for e in picked]
 
-_DAY = "SELECT DISTINCT user_id FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-{}'"
 
+_DAILY = "(SELECT *, CAST(ts AS DATE) AS day, dense_rank() OVER (ORDER BY CAST(ts AS DATE)) - 1 AS tick, CAST(round(value * 100) AS BIGINT) AS v FROM events)"
+_DAY = "SELECT DISTINCT user_id AS u FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-{}'"
 
-@query(f"{_DAY.format(11)} EXCEPT {_DAY.format(10)}")
-def inserted_day(spark, d):
-    was, now = _days(spark, d)
-    return now.exceptAll(was)
 
+def _present(spark, d) -> Tick:
+    """Who was there on a day, a table of one day's rows, after the 11th."""
 
-@query(f"{_DAY.format(10)} EXCEPT {_DAY.format(11)}")
-def deleted_day(spark, d):
-    was, now = _days(spark, d)
-    return was.exceptAll(now)
-
-
-# ---- ticks
+    def step(t: Tick) -> None:
+        t.keep_while("present", t.tables["present"].limit(0))
+        t.insert("present", t.events["ev"].select(F.col("user_id").alias("u")))
 
-_DAYS = [f"2024-01-0{k}" for k in range(1, 7)]
+    ticks = Ticks(spark, [Table("present", "u long")], step)
+    ticks.run(_script(spark, d, "2024-01-11"))
+    return ticks.view()
 
 
-def _script(spark, d) -> list[dict[str, DataFrame]]:
-    ev = read(spark, d, "events").withColumn("day", F.to_date("ts")).select("event_id", "user_id", "event_type", cents("value").alias("v"), "day")
-    return [{"ev": ev.where(F.col("day") == F.lit(x).cast("date")).drop("day")} for x in _DAYS]
+@query(f"{_DAY.format(11)} EXCEPT {_DAY.format(10)}")
+def inserted_day(spark, d):
+    return _present(spark, d).inserted("present")
 
 
-_FIRST6 = "(SELECT *, CAST(ts AS DATE) AS day, CAST(round(value * 100) AS BIGINT) AS v FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-06')"
+@query(f"{_DAY.format(10)} EXCEPT {_DAY.format(11)}")
+def deleted_day(spark, d):
+    return _present(spark, d).deleted("present")
 
 
-@query(f"SELECT user_id AS u, arg_max(event_id, event_id) AS last, arg_max(v, event_id) AS v FROM {_FIRST6} WHERE (user_id, day) IN (SELECT user_id, max(day) FROM {_FIRST6} GROUP BY 1) GROUP BY 1")
+@query(f"SELECT user_id AS u, arg_max(event_id, event_id) AS last, arg_max(v, event_id) AS v FROM {_DAILY} WHERE (user_id, day) IN (SELECT user_id, max(day) FROM {_DAILY} GROUP BY 1) GROUP BY 1")
 def tick_upsert(spark, d):
     def step(t: Tick) -> None:
         rows = t.events["ev"].select(F.col("user_id").alias("u"), F.col("event_id").alias("last"), "v")
@@ -488,7 +499,7 @@ def tick_upsert(spark, d):
     return Ticks(spark, [Table("seen", "u long, last long, v long", ("u",))], step).run(_script(spark, d))["seen"]
 
 
-@query(f"""WITH e AS {_FIRST6}, k AS (SELECT user_id AS u, max(CASE WHEN event_type = 'signup' THEN day END) AS i, max(CASE WHEN event_type = 'error' THEN day END) AS x FROM e GROUP BY 1)
+@query(f"""WITH e AS {_DAILY}, k AS (SELECT user_id AS u, max(CASE WHEN event_type = 'signup' THEN day END) AS i, max(CASE WHEN event_type = 'error' THEN day END) AS x FROM e GROUP BY 1)
 SELECT u FROM k WHERE i IS NOT NULL AND (x IS NULL OR i >= x)""")
 def tick_delete_insert_wins(spark, d):
     def step(t: Tick) -> None:
@@ -499,7 +510,7 @@ def tick_delete_insert_wins(spark, d):
     return Ticks(spark, [Table("member", "u long")], step).run(_script(spark, d))["member"]
 
 
-@query(f"SELECT user_id AS u, event_id AS e FROM {_FIRST6} q WHERE event_type = 'click' AND NOT EXISTS (SELECT 1 FROM {_FIRST6} r WHERE r.user_id = q.user_id AND r.event_type = 'purchase' AND r.day > q.day)")
+@query(f"SELECT user_id AS u, event_id AS e FROM {_DAILY} q WHERE event_type = 'click' AND NOT EXISTS (SELECT 1 FROM {_DAILY} r WHERE r.user_id = q.user_id AND r.event_type = 'purchase' AND r.day > q.day)")
 def table_while(spark, d):
     def step(t: Tick) -> None:
         bought = t.events["ev"].where("event_type = 'purchase'").select(F.col("user_id").alias("u"))
@@ -509,7 +520,7 @@ def table_while(spark, d):
     return Ticks(spark, [Table("open", "u long, e long")], step).run(_script(spark, d))["open"]
 
 
-@query(f"SELECT user_id AS u, event_id AS e FROM {_FIRST6} WHERE event_type = 'signup' AND day <= DATE '2024-01-04'")
+@query(f"SELECT user_id AS u, event_id AS e FROM {_DAILY} WHERE event_type = 'signup' AND tick <= (SELECT max(tick) FROM {_DAILY}) - 2")
 def tick_messages(spark, d):
     def step(t: Tick) -> None:
         if "ev" in t.events:

@@ -206,3 +206,90 @@ def bytes_slice(data: Column, lo: Column, hi: Column) -> Column:
 def from_utf8(data: Column) -> Column:
     """The text of valid UTF-8, or null."""
     return F.try_validate_utf8(data.cast("string"))
+
+
+def to_text(x: Column) -> Column:
+    """The shortest decimal that reads back as the double, without an exponent: 1, 0.1, -2.5, NaN, inf."""
+    plain = x.cast("string")
+    parts = F.regexp_extract(plain, r"^(-?)([0-9]+)\.([0-9]+)(?:E(-?[0-9]+))?$", 0)
+    part = lambda i: F.regexp_extract(plain, r"^(-?)([0-9]+)\.([0-9]+)(?:E(-?[0-9]+))?$", i)
+    power = F.coalesce(part(4).try_cast("int"), F.lit(0))
+    fraction = F.when(part(3) == "0", "").otherwise(part(3))
+    digits, point = F.concat(part(2), fraction), F.length(part(2)) + power
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits)
+    middle = F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.length(digits)))
+    large = F.concat(digits, F.repeat(F.lit("0"), point - F.length(digits)))
+    shown = F.when(point <= 0, small).when(point < F.length(digits), middle).otherwise(large)
+    special = F.when(F.isnan(x), "NaN").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").when(x == 0, "0")
+    return F.coalesce(special, F.when(parts != "", F.concat(part(1), F.regexp_replace(shown, r"^(0\.[0-9]*[1-9])0+$", "$1"))), plain)
+
+
+def pow_i64(base: Column, exponent: int) -> Column:
+    """A whole power by multiplication, so that overflow raises."""
+    out = F.lit(1).cast("bigint")
+    for _ in range(exponent):
+        out = out * base
+    return out
+
+
+def wrapping_add(a: Column, b: Column) -> Column:
+    """The sum modulo 2**64, as a signed long."""
+    whole = a.cast("decimal(38,0)") + b.cast("decimal(38,0)")
+    span, half = F.lit(str(1 << 64)).cast("decimal(38,0)"), F.lit(str(1 << 63)).cast("decimal(38,0)")
+    return (F.pmod(whole + half, span) - half).cast("bigint")
+
+
+def saturating_add(a: Column, b: Column) -> Column:
+    whole = a.cast("decimal(38,0)") + b.cast("decimal(38,0)")
+    low, high = (F.lit(str(v)).cast("decimal(38,0)") for v in (-(1 << 63), (1 << 63) - 1))
+    return F.greatest(low, F.least(high, whole)).cast("bigint")
+
+
+def leading_zeros(x: Column) -> Column:
+    """Zero bits before the first one of a long, counted as unsigned; 64 for zero."""
+    return F.when(x == 0, 64).otherwise(64 - F.length(F.bin(x)))
+
+
+def from_millis(ms: Column) -> Column:
+    """A duration, in nanoseconds."""
+    return ms.cast("bigint") * 1_000_000
+
+
+def as_millis(nanos: Column) -> Column:
+    """A duration or instant in whole milliseconds, towards zero."""
+    return F.call_function("div", nanos, F.lit(1_000_000).cast("bigint"))
+
+
+def random_range(lo: Column, hi: Column, *key: Column) -> Column:
+    """A draw of lo .. hi - 1 that depends on the key alone: seed, node, incarnation, tick and what else tells draws apart."""
+    return lo + F.pmod(F.xxhash64(*key), hi - lo)
+
+
+def random_float(*key: Column) -> Column:
+    """A draw of [0, 1) that depends on the key alone."""
+    return F.shiftrightunsigned(F.xxhash64(*key), 11) / float(1 << 53)
+
+
+def error(message: str, when: Column) -> Column:
+    """True, or an error if the condition holds."""
+    return F.when(when, F.raise_error(F.lit(message))).otherwise(F.lit(True))
+
+
+def bytes_join(parts: Column) -> Column:
+    """All parts of an array of binaries, end to end."""
+    return F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x))
+
+
+def map_keys(m: Column) -> Column:
+    """Keys in order."""
+    return F.array_sort(F.map_keys(m))
+
+
+def map_values(m: Column) -> Column:
+    """Values in the order of their keys."""
+    return F.transform(map_entries(m), lambda e: e["value"])
+
+
+def blob(data: Column) -> Column:
+    """A content address: (hash, length), by SHA-256."""
+    return F.struct(F.sha2(data, 256).alias("hash"), F.length(data).cast("bigint").alias("length"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .parts import carried, dealt
 
@@ -84,24 +89,61 @@ def number_new(rows: DataFrame, assigned: DataFrame, by: list[Column], name: str
     return assigned.unionByName(given.select(*assigned.columns))
 
 
-def fold(rows: DataFrame, per: tuple[str, ...], by: list[str], init: Column, step, name: str) -> DataFrame:
-    """An ordered fold per group: step(accumulator, row struct) over the group's rows in order. Groups must fit in a row."""
-    others = [c for c in rows.columns if c not in per and c not in by]
-    items = F.array_sort(F.collect_list(F.struct(*by, *others)))
-    return rows.groupBy(*per).agg(items.alias("__items")).select(*per, F.aggregate("__items", init, step).alias(name))
-
+def fold(rows: DataFrame, per: tuple[str, ...], by: list[str], init: Any, step: Callable[[Any, Any], Any], finish: Callable[[Any], dict], schema: str) -> DataFrame:
+    """An ordered fold per group: ``step(state, row)`` over the group's rows in the order of ``by``, ties by the other columns.
 
-def user_aggregate(rows: DataFrame, per: tuple[str, ...], init: Column, step, combine, finish, name: str, parts: int = 32) -> DataFrame:
+    Rows stream past in order, so a task holds one state and no group. ``finish`` makes the columns of ``schema`` out of the
+    last state. An order that any step may need is one group's in one task; for steps that combine use ``user_aggregate``.
+    """
+    others = [c for c in rows.columns if c not in per and c not in by]
+    ordered = rows.repartition(*[F.col(c) for c in per]).sortWithinPartitions(*per, *by, *others)
+    out = StructType([*rows.select(*per).schema, *rows.sparkSession.createDataFrame([], schema).schema])
+    arrow, at = to_arrow_schema(out), [rows.columns.index(c) for c in per]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, some = None, init, False
+        for b in batches:
+            done = []
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                key = tuple(row[i] for i in at)
+                if not some or key != now:
+                    if some:
+                        done.append((*now, *finish(state).values()))
+                    now, state, some = key, init, True
+                state = step(state, dict(zip(b.schema.names, row)))
+            yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(list(zip(*done)) or [()] * len(arrow), arrow)], schema=arrow)
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip((*now, *finish(state).values()), arrow)], schema=arrow)
+
+    return ordered.mapInArrow(run, out)
+
+
+def user_aggregate(rows: DataFrame, per: tuple[str, ...], init: Column, step, combine, finish, name: str, part_rows: int = 10_000, fan_in: int = 256) -> DataFrame:
     """A user's aggregate of init, step, combine and finish, for steps that may go in any order.
 
-    Each group is dealt over ``parts`` by a hash of the row and stepped there; only the parts' states meet. A large group
-    thus costs a ``parts``-th of itself in one place; raise ``parts`` with the largest group.
+    Each group is dealt over parts of about ``part_rows`` rows and stepped there; the parts' states meet ``fan_in`` at a time,
+    level by level, so no task holds more of a group than that, however large it is.
     """
     items = [c for c in rows.columns if c not in per]
+    parts = max(1, -(-rows.count() // part_rows))
     dealt = rows.withColumn("__part", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(parts)))
-    stepped = dealt.groupBy(*per, "__part").agg(F.aggregate(F.collect_list(F.struct(*items)), init, step).alias("__state"))
-    joined = stepped.groupBy(*per).agg(F.aggregate(F.collect_list("__state"), init, combine).alias("__state"))
-    return joined.select(*per, finish(F.col("__state")).alias(name))
+    states = dealt.groupBy(*per, "__part").agg(F.aggregate(F.collect_list(F.struct(*items)), init, step).alias("__state"))
+    while parts > 1:
+        parts = -(-parts // fan_in)
+        states = states.withColumn("__part", F.expr(f"__part div {fan_in}")).groupBy(*per, "__part").agg(F.aggregate(F.collect_list("__state"), init, combine).alias("__state"))
+    return states.select(*per, finish(F.col("__state")).alias(name))
+
+
+def estimate(rows: DataFrame, per: tuple[str, ...], value: Column, one_in: int, z: float = 1.96) -> DataFrame:
+    """Online aggregates: (per, sampled, count, sum, avg, avg_error) from one row in ``one_in``, picked by a hash of the row.
+
+    count and sum are scaled up from the sample; avg_error is half the width of the confidence interval of the mean at ``z``
+    standard errors. The same rows are picked at every run, and a smaller ``one_in`` picks these and more.
+    """
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in rows.columns]).cast("binary")), 1, 8), 16, 10).cast("bigint")
+    picked = rows.withColumn("__v", value.cast("double")).where(drawn < (1 << 32) // one_in)
+    agg = picked.groupBy(*per).agg(F.count("__v").alias("sampled"), F.sum("__v").alias("__s"), F.avg("__v").alias("avg"), F.stddev_samp("__v").alias("__d"))
+    return agg.select(*per, "sampled", (F.col("sampled") * one_in).alias("count"), (F.col("__s") * one_in).alias("sum"), "avg", (F.lit(z) * F.col("__d") / F.sqrt("sampled")).alias("avg_error"))
 
 
 def weights(rows: DataFrame, weight: str = "weight") -> DataFrame:

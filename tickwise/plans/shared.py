@@ -1,7 +1,8 @@
 """Tables in the folder that driver and executors share, to cut lineage.
 
 A written table survives the loss of any executor, and its file statistics tell
-Catalyst how large it really is, which a checkpointed RDD cannot.
+Catalyst how large it really is, which a checkpointed RDD cannot. Tables lie in a folder of the session, which
+goes when the driver's JVM ends; those that must outlive it ask for ``keep``.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: str | None = None
+_session_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,20 +29,66 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local_dir}"
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def session_dir(spark: SparkSession) -> str:
+    """A folder of this application in the shared folder, deleted when the driver's JVM ends."""
+    shared, app = shared_dir(spark), spark.sparkContext.applicationId
+    if f"{shared} {app}" not in _session_dirs:
+        path = f"{shared}/session-{uuid.uuid4().hex}"
+        found, fs = _hadoop_path(spark, path)
+        fs.mkdirs(found)
+        fs.deleteOnExit(found)
+        _session_dirs[f"{shared} {app}"] = path
+    return _session_dirs[f"{shared} {app}"]
+
+
 class Shared:
     """A table written to the shared folder, with the DataFrame that reads it back."""
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, keep: bool = False):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/t-{uuid.uuid4().hex}"
+        self.path = f"{shared_dir(self.spark) if keep else session_dir(self.spark)}/t-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
+    @classmethod
+    def at(cls, spark: SparkSession, path: str, schema) -> Shared:
+        """The table that was written to ``path`` before, perhaps by another session."""
+        held = cls.__new__(cls)
+        held.spark, held.path, held.df = spark, path, spark.read.schema(schema).parquet(path)
+        return held
+
     def drop(self) -> None:
         """Remove the files; only for tables that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path, fs = _hadoop_path(self.spark, self.path)
+        fs.delete(path, True)
+
+
+class Bucketed:
+    """Rows in hash buckets of their column ``__key``, a struct, in which nulls are equal.
+
+    A join on ``__key`` reads the buckets as they lie: only the other side is shuffled. The table's name in the session's
+    catalogue is only for that; ``forget`` drops it and leaves the files, which ``plain`` reads.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.spark = df.sparkSession
+        self.path, self.name = f"{session_dir(self.spark)}/t-{uuid.uuid4().hex}", f"tickwise_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.bucketBy(buckets, "__key").option("path", self.path).format("parquet").saveAsTable(self.name)
+        self.df, self.plain = self.spark.table(self.name), self.spark.read.schema(df.schema).parquet(self.path)
+
+    def forget(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+    def drop(self) -> None:
+        self.forget()
+        path, fs = _hadoop_path(self.spark, self.path)
+        fs.delete(path, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:

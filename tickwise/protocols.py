@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickwise.catalogue import _EDGE, _FIRST6, REACH, _events, _micros, _orders, _script, cents, edges, query, read, run
+from tickwise.catalogue import _EDGE, _DAILY, REACH, _events, _micros, _orders, _script, cents, edges, query, read, run
 from tickwise.functions import scalar as S
 from tickwise.operators import choice, lattices, linearize, matching
 from tickwise.plans import provenance, traces
@@ -59,9 +59,9 @@ def causal_observed_remove(spark, d):
     return lattices.observed_remove(adds.drop("at"), removes, ("dot",))
 
 
-@query("SELECT l_partkey AS p, CASE WHEN min(l_suppkey) = max(l_suppkey) THEN min(l_suppkey) END AS s, min(l_suppkey) <> max(l_suppkey) AS is_top FROM lineitem WHERE l_discount >= 0.09 GROUP BY 1")
+@query("SELECT l_partkey AS p, CASE WHEN min(l_suppkey) = max(l_suppkey) THEN min(l_suppkey) END AS s, min(l_suppkey) <> max(l_suppkey) AS is_top FROM lineitem GROUP BY 1")
 def lconflict(spark, d):
-    rows = read(spark, d, "lineitem").where("l_discount >= 0.09").select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
+    rows = read(spark, d, "lineitem").select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
     return lattices.conflicts(rows, ("p",), "s")
 
 
@@ -73,17 +73,19 @@ def lvec_join(spark, d):
 
 # ---- choice under several dependencies, precedence, aggregates of one's own
 
-_CAND = "SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.1"
+_CAND = "SELECT s_nationkey AS n, p_brand AS b, count(*) AS lines FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2"
 
 
-@query(f"""WITH RECURSIVE c AS (SELECT s, p, row_number() OVER (ORDER BY abs(s * 7 - p), s, p) AS i FROM ({_CAND})),
-r AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS ss, CAST([] AS BIGINT[]) AS ps, CAST(NULL AS BIGINT) AS s, CAST(NULL AS BIGINT) AS p
- UNION ALL SELECT c.i, CASE WHEN ok THEN list_append(ss, c.s) ELSE ss END, CASE WHEN ok THEN list_append(ps, c.p) ELSE ps END, CASE WHEN ok THEN c.s END, CASE WHEN ok THEN c.p END
- FROM (SELECT r.ss, r.ps, c.*, NOT list_contains(r.ss, c.s) AND NOT list_contains(r.ps, c.p) AS ok FROM r JOIN c ON c.i = r.i + 1) c)
-SELECT s, p FROM r WHERE s IS NOT NULL""")
+@query(f"""WITH RECURSIVE c AS (SELECT n, b, row_number() OVER (ORDER BY lines DESC, n, b, lines) AS i, lines FROM ({_CAND})),
+r AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS INTEGER[]) AS ns, CAST([] AS VARCHAR[]) AS bs, CAST(NULL AS INTEGER) AS n, CAST(NULL AS VARCHAR) AS b, CAST(NULL AS BIGINT) AS lines
+ UNION ALL SELECT c.i, CASE WHEN ok THEN list_append(ns, c.n) ELSE ns END, CASE WHEN ok THEN list_append(bs, c.b) ELSE bs END, CASE WHEN ok THEN c.n END, CASE WHEN ok THEN c.b END, CASE WHEN ok THEN c.lines END
+ FROM (SELECT r.ns, r.bs, c.*, NOT list_contains(r.ns, c.n) AND NOT list_contains(r.bs, c.b) AS ok FROM r JOIN c ON c.i = r.i + 1) c)
+SELECT n, b, lines FROM r WHERE n IS NOT NULL""")
 def choose_matching(spark, d):
-    rows = read(spark, d, "lineitem").where("l_quantity >= 49 and l_discount >= 0.1").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"))
-    return matching.choose_all(rows, [("s",), ("p",)], [F.abs(F.col("s") * 7 - F.col("p")).asc()])
+    """Each nation takes one brand and each brand one nation, the pairs with most lines first."""
+    nations, brands = read(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n")), read(spark, d, "part").select("p_partkey", F.col("p_brand").alias("b"))
+    lines = read(spark, d, "lineitem").select("l_suppkey", "l_partkey").join(nations, F.col("l_suppkey") == F.col("s_suppkey")).join(brands, F.col("l_partkey") == F.col("p_partkey"))
+    return matching.choose_all(lines.groupBy("n", "b").agg(F.count("*").alias("lines")), [("n",), ("b",)], [F.col("lines").desc()])
 
 
 @query("SELECT c, o FROM (SELECT o_custkey AS c, o_orderkey AS o, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS r FROM orders WHERE o_orderpriority < '3')  WHERE r = 1")
@@ -106,10 +108,18 @@ def user_aggregate(spark, d):
     return choice.user_aggregate(rows, ("u",), state(F.lit(0), F.lit(0), F.lit(0)), step, join, lambda a: a["n"] * a["q"] - a["s"] * a["s"], "spread")
 
 
-@query("SELECT l_returnflag AS f, true AS near FROM lineitem GROUP BY 1")
+@query("SELECT l_returnflag AS f, count(DISTINCT l_partkey) AS exact, true AS near FROM lineitem GROUP BY 1")
 def approx_distinct(spark, d):
+    """A sketch's estimate, next to the count that it stands for."""
     by_flag = read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("f")).agg(F.approx_count_distinct("l_partkey", 0.01).alias("n"), F.count_distinct("l_partkey").alias("exact"))
-    return by_flag.select("f", (F.abs(F.col("n") - F.col("exact")) <= 0.05 * F.col("exact") + 1).alias("near"))
+    return by_flag.select("f", "exact", (F.abs(F.col("n") - F.col("exact")) <= 0.05 * F.col("exact") + 1).alias("near"))
+
+
+@query("""WITH s AS (SELECT event_type AS k, CAST(event_id % 97 AS DOUBLE) AS v FROM (SELECT event_id, event_type FROM events) WHERE CAST('0x' || substr(md5(event_id || '|' || event_type), 1, 8) AS BIGINT) < 1073741824)
+SELECT k, count(*) AS sampled, count(*) * 4 AS count, sum(v) * 4 AS sum, round(avg(v), 6) AS avg, round(1.96 * stddev_samp(v) / sqrt(count(*)), 6) AS avg_error FROM s GROUP BY 1""")
+def online_estimate(spark, d):
+    rows = read(spark, d, "events").select("event_id", F.col("event_type").alias("k"))
+    return choice.estimate(rows, ("k",), F.col("event_id") % 97, one_in=4).withColumns({"avg": F.round("avg", 6), "avg_error": F.round("avg_error", 6)})
 
 
 @query(f"{_REACH}, left_ AS (SELECT x, y FROM edge WHERE x <> (SELECT min(x) FROM edge)), r2 AS (SELECT x, y FROM left_ UNION SELECT r.x, e.y FROM r2 r JOIN left_ e ON r.y = e.x) SELECT * FROM reach EXCEPT SELECT * FROM r2")
@@ -177,12 +187,15 @@ def faulty_delivery(spark, d):
     return channels.deliver(sent, lost, spark.sql("select 3L as node, 20L as tick"))
 
 
-@query("SELECT point, count(*) AS n FROM events JOIN (SELECT unnest([100, 400, 900]) AS point) ON event_id <= point GROUP BY 1")
+@query("""SELECT point, count(*) AS n, min(ts) AS first FROM events JOIN (SELECT CAST(m // 4 * k AS BIGINT) AS point FROM (SELECT max(event_id) AS m FROM events), (SELECT unnest([1, 2, 3, 4]) AS k)) ON event_id <= point GROUP BY 1""")
 def progressive_snapshots(spark, d):
-    return channels.snapshots(read(spark, d, "events").select("event_id"), "event_id", [100, 400, 900]).groupBy("point").agg(F.count("*").alias("n"))
+    """Counts at each quarter of the log."""
+    log = read(spark, d, "events").select("event_id", "ts")
+    quarter = (log.agg(F.max("event_id")).first()[0] or 0) // 4
+    return channels.snapshot_totals(log, "event_id", [quarter * k for k in (1, 2, 3, 4)], {"n": F.count("*"), "first": F.min("ts")}, {"n": F.sum("n"), "first": F.min("first")})
 
 
-@query(f"SELECT user_id AS u, event_type AS k, CAST(min(day) - DATE '2024-01-01' AS BIGINT) AS tick FROM {_FIRST6} GROUP BY 1, 2")
+@query(f"SELECT user_id AS u, event_type AS k, min(tick) AS tick FROM {_DAILY} GROUP BY 1, 2")
 def tick_dedup(spark, d):
     """Each user's first event of a kind: what was seen before is filtered, and what is new is remembered."""
 
@@ -222,7 +235,7 @@ def trace_quorum(spark, d):
     return traces.quorum(_trace(spark, d), read(spark, d, "events").select(F.col("user_id").alias("node")), ("tick",))
 
 
-_HIST = """WITH w AS (SELECT o_custkey % 40 AS key, 'w' AS kind, o_orderkey AS v, o_orderkey * 3 AS b, o_orderkey * 3 + 40 + o_custkey % 30 AS e FROM orders WHERE o_orderkey <= 1500),
+_HIST = """WITH w AS (SELECT o_custkey % 40 AS key, 'w' AS kind, o_orderkey AS v, o_orderkey * 3 AS b, o_orderkey * 3 + 40 + o_custkey % 30 AS e FROM orders),
 r AS (SELECT key, 'r' AS kind, CASE WHEN v % 50 = 7 THEN -v ELSE v END AS v, b + CASE WHEN v % 37 = 0 THEN -400 ELSE v % 29 END AS b, b + CASE WHEN v % 37 = 0 THEN -200 ELSE v % 29 + 25 END AS e FROM w WHERE v % 3 = 0),
 h AS (SELECT * FROM w UNION ALL SELECT * FROM r),
 i AS (SELECT * FROM h UNION ALL SELECT key, 'w', NULL, min(b) - 2, min(b) - 1 FROM h GROUP BY key),
@@ -235,7 +248,7 @@ UNION ALL SELECT key, v, 'zones overlap' FROM z WHERE f < s AND EXISTS (SELECT 1
  AND (a.f < z.f OR (a.f = z.f AND a.s < z.s)))""")
 def linearizable(spark, d):
     """A history made of the orders: writes, and reads of some of them, a few of them impossible."""
-    w = read(spark, d, "orders").where("o_orderkey <= 1500").selectExpr("o_custkey % 40 as key", "'w' as kind", "o_orderkey as v", "o_orderkey * 3 as b", "o_orderkey * 3 + 40 + o_custkey % 30 as e")
+    w = read(spark, d, "orders").selectExpr("o_custkey % 40 as key", "'w' as kind", "o_orderkey as v", "o_orderkey * 3 as b", "o_orderkey * 3 + 40 + o_custkey % 30 as e")
     r = w.where("v % 3 = 0").selectExpr("key", "'r' as kind", "if(v % 50 = 7, -v, v) as v", "b + if(v % 37 = 0, -400, v % 29) as b", "b + if(v % 37 = 0, -200, v % 29 + 25) as e")
     return linearize.violations(w.unionByName(r), ("key",), "kind", "v", "b", "e")
 

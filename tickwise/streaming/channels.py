@@ -85,3 +85,14 @@ def snapshots(rows: DataFrame, progress: str, points: list[int]) -> DataFrame:
     """A running result published at each progress point: the rows so far, once per point at or after them."""
     at = F.filter(F.array(*[F.lit(p) for p in sorted(points)]), lambda p: p >= F.col(progress))
     return rows.withColumn("point", F.explode(at))
+
+
+def snapshot_totals(rows: DataFrame, progress: str, points: list[int], aggregates: dict[str, Column], totals: dict[str, Column]) -> DataFrame:
+    """Aggregates of the rows up to each progress point, one row a point, without repeating a row.
+
+    Rows are aggregated once between the points; ``totals`` joins these parts, a row a point, over all up to each.
+    """
+    at = F.array_min(F.filter(F.array(*[F.lit(p) for p in sorted(points)]), lambda p: p >= F.col(progress)))
+    parts = rows.withColumn("__at", at).where("__at is not null").groupBy("__at").agg(*[c.alias(name) for name, c in aggregates.items()])
+    wanted = rows.sparkSession.createDataFrame([(int(p),) for p in points], "point long")
+    return wanted.join(parts, F.col("__at") <= F.col("point")).groupBy("point").agg(*[c.alias(name) for name, c in totals.items()])
