@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickwise.operators.parts import carried, dealt
 from tickwise.plans.shared import materialize
 
 from .common import WORD, fresh
@@ -113,18 +114,19 @@ def schedule(mixed: DataFrame, knots: int = len(RAMPS[0])) -> DataFrame:
     """The rows of ``mixed``, one for each of its passes: with ``pass`` from 0, ``words``, ``position`` in the curriculum and ``place``.
 
     place numbers all passes of all documents from 0 in the order of their positions, ties by md5 of the id, id and size.
-    A document of which nothing is taken has one row, all four of them null. Numbers are given block by block of
-    the range of positions, so no task holds the order.
+    A document of which nothing is taken has one row, all four of them null. Numbers are given part by part of a range
+    sort by position, so no task holds the order.
     """
     rest = F.col("taken") - F.col("passes") * F.col("size")
     times = F.when(F.col("taken") > 0, F.col("passes") + F.when(rest > 0, 1).otherwise(0)).otherwise(0)
     shown = _passes(times, lambda k: F.when(k < F.col("passes"), F.col("size")).otherwise(rest), knots)
     rows = materialize(mixed.select("*", shown.alias("__shown")).select("*", F.posexplode_outer("__shown").alias("pass", "__one")).select(*mixed.columns, "pass", "__one.words", "__one.position"))
-    at = F.floor(F.least(F.coalesce("position", F.lit(0.0)), F.lit(1.0)) * F.lit(float((1 << 31) - 1))).cast("long")
-    keyed = rows.withColumn("__all", F.lit(0)).withColumn("__md5", _stream_key(F.col("id")))
-    counted = F.when(F.col("pass").isNotNull(), 1).otherwise(0).cast("long")
-    numbered = running(keyed, "__all", at, counted, "place", rows.count(), ["position", "__md5", "id", "size", "pass"])
-    return numbered.withColumn("place", F.when(F.col("pass").isNotNull(), F.col("place"))).drop("__all", "__md5")
+    order = ["position", "__md5", "id", "size", "pass"]
+    taken = rows.where("pass is not null").withColumn("__md5", _stream_key(F.col("id")))
+    placed = carried(dealt(taken, [F.col(c) for c in order]), (), F.count("*"), F.sum("__edge"), "__before")
+    inside = F.row_number().over(W.partitionBy("__part").orderBy(*order))
+    numbered = placed.select(*rows.columns, (F.coalesce("__before", F.lit(0)) + inside - 1).cast("long").alias("place"))
+    return numbered.unionByName(rows.where("pass is null").withColumn("place", F.lit(None).cast("long")))
 
 
 def training_order(mixed: DataFrame, partitions: int) -> DataFrame:
