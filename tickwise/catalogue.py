@@ -6,6 +6,7 @@ Money columns are doubles; sums over them are taken in whole cents, exact and in
 from __future__ import annotations
 
 import datetime
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from tickwise.functions import scalar as S
 from tickwise.operators import choice, joins
 from tickwise.plans.fixpoint import evaluate, merged
 from tickwise.plans.rules import Agg, Any_, Atom, Const, Each, ForAll, Guard, Let, Not, Outer, Relation, Rule
-from tickwise.plans.shared import materialize
+from tickwise.plans.shared import materialize, session_dir
 from tickwise.plans.ticks import Table, Tick, Ticks
 from tickwise.sources import history
 
@@ -550,8 +551,9 @@ o AS (SELECT u, t, max(CASE WHEN k = 'signup' THEN 1 ELSE 0 END) AS alive, arg_m
 v AS (SELECT *, lead(t) OVER (PARTITION BY u ORDER BY t) AS nt FROM o) SELECT u, e FROM v WHERE alive = 1 AND t <= 19738 AND (nt IS NULL OR nt > 19738)""")
 def asof_db(spark, d):
     log = _events(spark, d).where("event_type in ('signup', 'error')").select(F.col("user_id").alias("u"), F.expr("at div 86400000000").alias("t"), (F.col("event_type") == "signup").alias("put"), F.col("event_id").alias("e"))
-    kept = history.versions(log, ("u",), "t", F.col("put"))
-    return history.as_of(kept.drop("put"), F.lit(19738)).select("u", "e")
+    path = f"{session_dir(spark)}/history-{uuid.uuid4().hex}"
+    history.store(history.versions(log, ("u",), "t", F.col("put")).drop("put"), path, era=7)
+    return history.as_of_stored(history.stored(spark, path), 19738, era=7).select("u", "e")
 
 
 @query("SELECT l_orderkey AS o, l_linenumber AS n FROM lineitem WHERE l_discount > 0.099 AND l_quantity < 2")

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickwise.catalogue import _DAILY, _EDGE, _ORD, _events, _script, ask, cents, edges, query, read, run
+from tickwise.functions import extern
 from tickwise.functions import lattice as L
 from tickwise.functions import scalar as S
 from tickwise.operators import choice, joins
 from tickwise.plans.lattice import Lattice
 from tickwise.plans.rules import Agg, Any_, Atom, Const, Each, Expr, Fold, Guard, Let, Lookup, Not, Parts, Relation, Rule, Some, block, keys_of, member
 from tickwise.plans.ticks import Table, Tick, Ticks
+from tickwise.sources import config
 
 # ---- rules
 
@@ -122,9 +126,61 @@ def interval_join(spark, d):
     return joins.range_join(buys, "bought", clicks, "lo", "hi", two, ("user_id",)).select("e", "f")
 
 
+@query("SELECT k, CAST(x AS BIGINT) AS d, count(*) AS n FROM (SELECT event_type AS k, unnest(list_distinct(list(event_id % 10))) AS x FROM events GROUP BY 1) GROUP BY 1, 2")
+def lattice_generator(spark, d):
+    """One row per element of a set that a lattice relation holds."""
+    rules = [Rule("digits", ("k", "array(i % 10)"), (Atom("e", ("i", None, None, "k", None)),)), Rule("q", ("k", "x", Agg("count")), (Atom("digits", ("k", "s")), Each("x", "$s")))]
+    return run(rules, [Relation("digits", ("k", "s"), {"s": "set"}), Relation("q", ("k", "d", "n"))], {"e": _events(spark, d)}, "q")
+
+
+@query("SELECT n_name AS nation, count(DISTINCT c_custkey) AS customers FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey IN (1, 3) GROUP BY 1")
+def deployment_rows(spark, d):
+    """Relations that a configuration names: files, and rows given in it."""
+    base = config.relations(spark, {
+        "customer": {"path": f"{d}/customer.parquet", "columns": ["c_custkey", "c_nationkey"]}, "nation": {"path": f"{d}/nation.parquet", "columns": ["n_nationkey", "n_name", "n_regionkey"]},
+        "served": {"rows": [[1], [3]], "ddl": "region int"},
+    })
+    return ask("nation customers", ("m", Agg("count", "c")), (Atom("customer", ("c", "n")), Atom("nation", ("n", "m", "r")), Atom("served", ("r",))), base)
+
+
+@query("SELECT p_partkey AS p, length(p_name) * 31 + p_size AS mark FROM part WHERE (length(p_name) * 31 + p_size) % 2 = 0")
+def extern_function(spark, d):
+    """A function of one's own, on Arrow batches, in a rule."""
+    extern.extern(spark, "mark_of", lambda name, size: name.str.len() * 31 + size, "long")
+    return ask("p mark", ("p", "m"), (Atom("part", ("p", "n", "z")), Let("m", "mark_of($n, $z)"), Guard("$m % 2 = 0")), {"part": read(spark, d, "part").select("p_partkey", "p_name", "p_size")})
+
+
+@query("SELECT p_partkey AS p, p_name AS a, p_name AS b, true AS none FROM part")
+def compression(spark, d):
+    data = F.encode("p_name", "UTF-8")
+    rows = read(spark, d, "part").select(F.col("p_partkey").alias("p"), data.alias("x"), extern.gzip_(data).alias("g"), extern.zstd(data).alias("z"))
+    return rows.select("p", extern.gunzip(F.col("g")).cast("string").alias("a"), extern.unzstd(F.col("z")).cast("string").alias("b"), extern.gunzip(F.col("x")).isNull().alias("none"))
+
+
+@query("""WITH c AS (SELECT user_id AS u, epoch_us(ts) // 86400000000 AS t, event_type AS k FROM events WHERE event_type IN ('signup', 'error')),
+o AS (SELECT u, t, max(CASE WHEN k = 'signup' THEN 1 ELSE 0 END) AS alive FROM c GROUP BY 1, 2), v AS (SELECT *, lead(t) OVER (PARTITION BY u ORDER BY t) AS nt FROM o),
+m AS (SELECT u FROM v WHERE alive = 1 AND t <= 19738 AND (nt IS NULL OR nt > 19738)) SELECT c_custkey AS c FROM customer JOIN m ON u = c_custkey WHERE c_acctbal > 0""")
+def rule_over_history(spark, d):
+    """A rule asked of a stored history as of a tick."""
+    from tickwise.catalogue import QUERIES
+
+    base = {"member": QUERIES["asof_db"](spark, d), "customer": read(spark, d, "customer").select("c_custkey", "c_acctbal")}
+    return ask("c", ("c",), (Atom("member", ("c", None)), Atom("customer", ("c", "b")), Guard("$b > 0")), base)
+
+
 # ---- table kinds
 
 
+@query(f"SELECT tick + 1 AS tick, count(*) FILTER (new) AS gained FROM (SELECT DISTINCT user_id, tick, tick = min(tick) OVER (PARTITION BY user_id) AS new FROM {_DAILY}) GROUP BY 1")
+def change_subscription(spark, d):
+    """How many users each tick adds to a table, as its watcher saw them."""
+    ticks = Ticks(spark, [Table("seen", "u long")], lambda t: t.insert("seen", t.events["ev"].select(F.col("user_id").alias("u"))))
+    gained: list[DataFrame] = []
+    ticks.watch("seen", lambda n, more, _: gained.append(more.agg(F.lit(n).cast("bigint").alias("tick"), F.count("*").alias("gained"))))
+    ticks.run(_script(spark, d))
+    return reduce(DataFrame.unionByName, gained)
+
+
 @query(f"SELECT user_id AS u, max(event_id) AS last, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM {_DAILY} GROUP BY 1")
 def lattice_table(spark, d):
     """A table whose columns merge per key from tick to tick."""

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from tickwise.plans.rules import matched
+
 from .parts import carried, dealt
 
 
@@ -25,7 +27,7 @@ def arg_best(rows: DataFrame, per: tuple[str, ...], cost: Column, largest: bool
     best = (F.max if largest else F.min)(cost)
     if not per:
         return rows.join(rows.agg(best.alias("__best")), cost == F.col("__best")).drop("__best")
-    return rows.join(rows.groupBy(*per).agg(best.alias("__best")), list(per)).where(cost == F.col("__best")).drop("__best")
+    return matched(rows, rows.groupBy(*per).agg(best.alias("__best")), list(per), "inner").where(cost == F.col("__best")).drop("__best")
 
 
 def top(rows: DataFrame, k: int, per: tuple[str, ...], by: list[Column]) -> DataFrame:
@@ -51,7 +53,7 @@ def prefer(writes: list[DataFrame], key: tuple[str, ...], unlisted: DataFrame |
     """
     ranked = reduce(DataFrame.unionByName, [w.withColumn("__rank", F.lit(i)) for i, w in enumerate(writes)])
     best = ranked.groupBy(*key).agg(F.min("__rank").alias("__rank"))
-    kept = ranked.join(best, [*key, "__rank"], "left_semi").drop("__rank").distinct()
+    kept = matched(ranked, best, [*key, "__rank"], "left_semi").drop("__rank").distinct()
     return kept if unlisted is None else kept.unionByName(unlisted).distinct()
 
 
@@ -62,8 +64,8 @@ def choose_best(rows: DataFrame, per: tuple[str, ...], cost: Column, most: bool
 
 def choose_sticky(rows: DataFrame, held: DataFrame, per: tuple[str, ...], by: list[Column]) -> DataFrame:
     """Last tick's choice while it is still a candidate, else the first in order. ``held`` has the columns of ``rows``."""
-    still = held.withColumn("__held", F.lit(1)).join(rows, rows.columns, "left_semi")
-    marked = rows.join(still, rows.columns, "left")
+    still = matched(held.withColumn("__held", F.lit(1)), rows, rows.columns, "left_semi")
+    marked = matched(rows, still, rows.columns, "left")
     n = F.row_number().over(W.partitionBy(*per).orderBy(F.col("__held").asc_nulls_last(), *_order(rows, by)))
     return marked.withColumn("__n", n).where("__n = 1").drop("__n", "__held")
 
@@ -83,7 +85,7 @@ def index(rows: DataFrame, by: list[Column], name: str = "index", per: tuple[str
 
 def number_new(rows: DataFrame, assigned: DataFrame, by: list[Column], name: str = "seq") -> DataFrame:
     """``assigned`` and numbers for the rows that have none yet, above all numbers ever given: stable, never reused."""
-    fresh = index(rows.join(assigned, rows.columns, "left_anti"), by, "__i")
+    fresh = index(matched(rows, assigned.select(*rows.columns), rows.columns, "left_anti"), by, "__i")
     most = assigned.agg(F.coalesce(F.max(name), F.lit(-1)).alias("__most"))
     given = fresh.crossJoin(most).withColumn(name, F.col("__most") + 1 + F.col("__i")).drop("__most", "__i")
     return assigned.unionByName(given.select(*assigned.columns))

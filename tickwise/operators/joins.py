@@ -6,19 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickwise.plans.rules import matched
+
 from .parts import carried, dealt
 
 
 def range_join(points: DataFrame, value: str, ranges: DataFrame, low: str, high: str, width: int, on: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of both sides with low <= value <= high, and equal ``on`` columns: an equi-join on slices of ``width``.
+    """Rows of both sides with low <= value <= high, and equal ``on`` columns: an equi-join on slices.
 
-    A range is repeated in each slice that it touches, so choose a width about as long as most ranges are.
-    Longer ones cost a row per slice, but no pair is missed. The value and bounds are whole numbers.
+    A range lies in at most two slices of its level, whose slices are ``width`` times a power of two wide, as wide as the range
+    or wider; a point lies in one slice of each level that has ranges. So neither a long range nor a narrow width costs
+    more than a row per level. The value and bounds are whole numbers. A null in ``on`` equals a null.
     """
-    left = points.withColumn("__slice", F.floor(F.col(value) / width))
-    right = ranges.where(F.col(low) <= F.col(high)).withColumn("__slice", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    joined = left.join(right, [*on, "__slice"])
-    return joined.where(F.col(value).between(F.col(low), F.col(high))).drop("__slice")
+    span = F.greatest(F.lit(1.0), (F.col(high) - F.col(low) + 1).cast("double") / width)
+    level = F.when(span <= 1, 0).otherwise(F.ceil(F.log2(span))).cast("int")
+    leveled = ranges.where(F.col(low) <= F.col(high)).withColumn("__level", level)
+    levels = [r[0] for r in leveled.select("__level").distinct().collect()] or [0]
+    at = lambda c: F.floor(F.col(c) / (F.lit(float(width)) * F.pow(F.lit(2.0), F.col("__level"))))
+    left = points.withColumn("__level", F.explode(F.array(*[F.lit(n) for n in sorted(levels)]))).withColumn("__slice", at(value))
+    right = leveled.withColumn("__slice", F.explode(F.sequence(at(low), at(high))))
+    joined = matched(left, right, [*on, "__level", "__slice"], "inner")
+    return joined.where(F.col(value).between(F.col(low), F.col(high))).drop("__level", "__slice")
 
 
 def asof_join(left: DataFrame, right: DataFrame, on: tuple[str, ...], at: str, payload: tuple[str, ...], prefix: str = "last_") -> DataFrame:
@@ -40,10 +48,10 @@ def asof_join(left: DataFrame, right: DataFrame, on: tuple[str, ...], at: str, p
 def divide(domain: DataFrame, facts: DataFrame, group: tuple[str, ...]) -> DataFrame:
     """Groups of ``facts`` that hold every row of ``domain``: counted, not paired, so no group times domain is built."""
     need = domain.distinct()
-    have = facts.select(*group, *domain.columns).distinct().join(need, domain.columns, "left_semi").groupBy(*group).agg(F.count("*").alias("__n"))
+    have = matched(facts.select(*group, *domain.columns).distinct(), need, domain.columns, "left_semi").groupBy(*group).agg(F.count("*").alias("__n"))
     return have.join(need.agg(F.count("*").alias("__need")), F.col("__n") == F.col("__need")).select(*group)
 
 
 def lookup(rows: DataFrame, cells: DataFrame, on: tuple[str, ...], value: str, bottom) -> DataFrame:
     """A lattice cell per row, or ``bottom`` where the key has none."""
-    return rows.join(cells.select(*on, value), list(on), "left").withColumn(value, F.coalesce(value, F.lit(bottom)))
+    return matched(rows, cells.select(*on, value), list(on), "left").withColumn(value, F.coalesce(value, F.lit(bottom)))

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickwise.plans.fixpoint import NotConverged
+from tickwise.plans.rules import matched
 from tickwise.plans.shared import Shared
 
 #: Parts that a group is dealt over before its survivors meet in one place.
@@ -31,7 +32,7 @@ def bag_sum(rows: DataFrame, count: str) -> DataFrame:
 def lex_join(rows: DataFrame, key: tuple[str, ...], rank: str, merge: dict[str, Column]) -> DataFrame:
     """Lex: per key the highest rank, and the join of the values that have it. One aggregate finds the rank, an equi-join the rest."""
     highest = rows.groupBy(*key).agg(F.max(rank).alias(rank))
-    return rows.join(highest, [*key, rank], "left_semi").groupBy(*key, rank).agg(*[c.alias(name) for name, c in merge.items()])
+    return matched(rows, highest, [*key, rank], "left_semi").groupBy(*key, rank).agg(*[c.alias(name) for name, c in merge.items()])
 
 
 def undominated(rows: DataFrame, key: tuple[str, ...], first: str, second: str) -> DataFrame:
@@ -85,13 +86,13 @@ def classes(links: DataFrame, left: str, right: str, max_rounds: int = 60) -> Da
 
 def live(adds: DataFrame, tombs: DataFrame) -> DataFrame:
     """LTombSet: what was added and never removed. A tombstone wins whenever it comes; both sides only grow."""
-    return adds.distinct().join(tombs.select(*adds.columns), adds.columns, "left_anti")
+    return matched(adds.distinct(), tombs.select(*adds.columns), adds.columns, "left_anti")
 
 
 def observed_remove(adds: DataFrame, removes: DataFrame, dot: tuple[str, ...]) -> DataFrame:
     """A causal set of dots: an element lives while one of its dots was removed by nobody. ``removes`` holds dots."""
     elements = [c for c in adds.columns if c not in dot]
-    return adds.join(removes.select(*dot).distinct(), list(dot), "left_anti").select(*elements).distinct()
+    return matched(adds, removes.select(*dot).distinct(), list(dot), "left_anti").select(*elements).distinct()
 
 
 def conflicts(rows: DataFrame, key: tuple[str, ...], value: str) -> DataFrame:

@@ -231,6 +231,7 @@ class Ticks:
         self.stored = {t.name: Stored() for t in tables}
         self.earlier, self.number, self.batch, self.now, self.fresh = dict(self.stored), 0, -1, None, True
         self.waiting: dict[int, list[tuple[str, Shared]]] = {}
+        self.watchers: list[tuple[str, Callable[[int, DataFrame, DataFrame], None]]] = []
         self.recovered = journal is not None and self._recover()
 
     @property
@@ -241,6 +242,10 @@ class Ticks:
     def before(self) -> Tables:
         return Tables(self.views, self.earlier, self.now)
 
+    def watch(self, table: str, sink: Callable[[int, DataFrame, DataFrame], None]) -> None:
+        """After every tick, ``sink`` gets the next tick's number and the rows that the table gained and lost."""
+        self.watchers.append((table, sink))
+
     def view(self) -> Tick:
         """What the next tick's step will see of the tables, without events."""
         return Tick(self.number, self.state, self.before, {}, self.now)
@@ -264,6 +269,9 @@ class Ticks:
         self.batch = self.batch if batch is None else batch
         if self.journal is not None:
             self._note()
+        for table, sink in self.watchers:
+            seen = self.view()
+            sink(self.number, seen.inserted(table), seen.deleted(table))
         return self.state
 
     def _note(self) -> None:

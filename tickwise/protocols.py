@@ -187,6 +187,15 @@ def faulty_delivery(spark, d):
     return channels.deliver(sent, lost, spark.sql("select 3L as node, 20L as tick"))
 
 
+@query(f"SELECT e, src, dst, tick FROM ({_MSG}) WHERE NOT ((src = dst OR (src + 2 * dst + tick) % 7 <> 0) AND NOT (src = 3 AND tick >= 20) AND NOT (dst = 3 AND tick + 1 >= 20))")
+def undelivered(spark, d):
+    """Messages that were sent and are not among those received."""
+    from tickwise.catalogue import QUERIES
+
+    sent = _events(spark, d).select(F.col("event_id").alias("e"), (F.col("user_id") % 5).alias("src"), (F.col("event_id") % 5).alias("dst"), F.expr("at div 86400000000 - 19723").alias("tick"))
+    return channels.undelivered(sent, QUERIES["faulty_delivery"](spark, d), ("e",))
+
+
 @query("""SELECT point, count(*) AS n, min(ts) AS first FROM events JOIN (SELECT CAST(m // 4 * k AS BIGINT) AS point FROM (SELECT max(event_id) AS m FROM events), (SELECT unnest([1, 2, 3, 4]) AS k)) ON event_id <= point GROUP BY 1""")
 def progressive_snapshots(spark, d):
     """Counts at each quarter of the log."""
@@ -235,6 +244,27 @@ def trace_quorum(spark, d):
     return traces.quorum(_trace(spark, d), read(spark, d, "events").select(F.col("user_id").alias("node")), ("tick",))
 
 
+@query(f"SELECT node, k FROM ({_TRACE}) WHERE tick = 19730")
+def trace_at(spark, d):
+    return traces.at(_trace(spark, d), 19730)
+
+
+@query(f"SELECT k, min(node) AS least, max(node) AS most FROM ({_TRACE}) GROUP BY 1 HAVING min(node) <> max(node)")
+def trace_agree(spark, d):
+    """Where nodes do not agree: kinds that two of them had."""
+    return traces.agree(_trace(spark, d), ("k",), "node")
+
+
+@query(f"SELECT a.src AS sender, a.dst AS receiver, a.e, a.tick AS sent_at, a.tick + 1 AS got_at FROM ({_MSG}) a WHERE (src = dst OR (src + 2 * dst + tick) % 7 <> 0) AND NOT (src = 3 AND tick >= 20) AND NOT (dst = 3 AND tick + 1 >= 20)")
+def trace_caused(spark, d):
+    """Messages as edges of what happened before what."""
+    from tickwise.catalogue import QUERIES
+
+    sent = _events(spark, d).select(F.col("event_id").alias("e"), (F.col("user_id") % 5).alias("node"), (F.col("event_id") % 5).alias("dst"), F.expr("at div 86400000000 - 19723").alias("tick"))
+    got = QUERIES["faulty_delivery"](spark, d).select(F.col("dst").alias("node"), "tick", "e")
+    return traces.caused(sent, got, ("e",))
+
+
 _HIST = """WITH w AS (SELECT o_custkey % 40 AS key, 'w' AS kind, o_orderkey AS v, o_orderkey * 3 AS b, o_orderkey * 3 + 40 + o_custkey % 30 AS e FROM orders),
 r AS (SELECT key, 'r' AS kind, CASE WHEN v % 50 = 7 THEN -v ELSE v END AS v, b + CASE WHEN v % 37 = 0 THEN -400 ELSE v % 29 END AS b, b + CASE WHEN v % 37 = 0 THEN -200 ELSE v % 29 + 25 END AS e FROM w WHERE v % 3 = 0),
 h AS (SELECT * FROM w UNION ALL SELECT * FROM r),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,3 +33,22 @@ def changed(history: DataFrame, after: Column, upto: Column) -> DataFrame:
     began = history.where((F.col("from_tick") > after) & (F.col("from_tick") <= upto)).withColumn("change", F.lit(1))
     ended = history.where((F.col("to_tick") > after) & (F.col("to_tick") <= upto)).withColumn("change", F.lit(-1))
     return began.unionByName(ended).drop("from_tick", "to_tick")
+
+
+def store(kept: DataFrame, path: str, era: int) -> None:
+    """Writes versions in folders by the era, ``era`` ticks long, in which they ended; those that still hold have one of their own."""
+    kept.withColumn("until", F.call_function("div", F.col("to_tick").cast("bigint"), F.lit(era).cast("bigint"))).write.partitionBy("until").parquet(path)
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def as_of_stored(history: DataFrame, tick: int, era: int) -> DataFrame:
+    """``as_of`` over stored versions: eras that ended before are not read, and the bounds reach the scan of the others."""
+    return as_of(history.where(F.col("until").isNull() | (F.col("until") >= tick // era)).drop("until"), F.lit(tick))
+
+
+def current(history: DataFrame) -> DataFrame:
+    """The rows that hold now: one folder of a stored history."""
+    return history.where("until is null").drop("from_tick", "to_tick", "until")

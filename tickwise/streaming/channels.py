@@ -1,4 +1,4 @@
-"""Delivery: exactly-once by dots, gapless prefixes, late and final rows, faults, and snapshots at progress points."""
+"""Delivery: exactly-once by dots, gapless prefixes, late and final rows, rows that never arrived, and snapshots at progress points."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickwise.plans.rules import matched
+
 
 class DotReused(RuntimeError):
     """A dot came back with another payload."""
@@ -18,7 +20,7 @@ def once(received: DataFrame, dot: tuple[str, ...], seen: DataFrame | None = Non
     twice = known.groupBy(*dot).count().where("count > 1").limit(1).collect()
     if twice:
         raise DotReused(str(twice[0].asDict()))
-    return distinct if seen is None else distinct.join(seen.select(*dot), list(dot), "left_anti")
+    return distinct if seen is None else matched(distinct, seen.select(*dot), list(dot), "left_anti")
 
 
 def prefix(received: DataFrame, producer: tuple[str, ...], seq: str, start: int = 0) -> DataFrame:
@@ -51,7 +53,7 @@ def merge_intervals(intervals: DataFrame, per: tuple[str, ...], lo: str = "lo",
 
 def late(received: DataFrame, seals: DataFrame, key: tuple[str, ...], tick: str, sealed_at: str) -> DataFrame:
     """Rows that came after their key was sealed: violations to report, never dropped silently."""
-    return received.join(seals.select(*key, sealed_at), list(key)).where(F.col(tick) > F.col(sealed_at)).drop(sealed_at)
+    return matched(received, seals.select(*key, sealed_at), list(key), "inner").where(F.col(tick) > F.col(sealed_at)).drop(sealed_at)
 
 
 def with_finality(rows: DataFrame, complete: DataFrame, key: tuple[str, ...], monotone: bool = False) -> DataFrame:
@@ -59,7 +61,7 @@ def with_finality(rows: DataFrame, complete: DataFrame, key: tuple[str, ...], mo
     if monotone:
         return rows.withColumn("final", F.lit(True))
     marks = complete.select(*key).distinct().withColumn("final", F.lit(True))
-    return rows.join(marks, list(key), "left").withColumn("final", F.coalesce("final", F.lit(False)))
+    return matched(rows, marks, list(key), "left").withColumn("final", F.coalesce("final", F.lit(False)))
 
 
 def deliver(sent: DataFrame, omissions: DataFrame | None = None, crashes: DataFrame | None = None) -> DataFrame:
@@ -96,3 +98,8 @@ def snapshot_totals(rows: DataFrame, progress: str, points: list[int], aggregate
     parts = rows.withColumn("__at", at).where("__at is not null").groupBy("__at").agg(*[c.alias(name) for name, c in aggregates.items()])
     wanted = rows.sparkSession.createDataFrame([(int(p),) for p in points], "point long")
     return wanted.join(parts, F.col("__at") <= F.col("point")).groupBy("point").agg(*[c.alias(name) for name, c in totals.items()])
+
+
+def undelivered(sent: DataFrame, got: DataFrame, dot: tuple[str, ...]) -> DataFrame:
+    """What was sent and has not arrived, to be sent again: an anti-join on the dots."""
+    return matched(sent, got.select(*dot).distinct(), list(dot), "left_anti")
