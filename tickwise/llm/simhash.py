@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickwise.plans.shared import materialize
+from tickwise.plans.shared import Shared, materialize, scratch
 
 from .common import fresh, map_columns, text_bytes
 from .components import connected_components
@@ -296,6 +296,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 NEAR = (4, 5)
 #: Sets that a task holds at a time, and ids of 8 bytes that are broadcast at most; more meet the sets in a shuffle.
 SETS, BROADCAST = 512, 4_000_000
+#: Rounds that merge dense groups: in buckets of over CROWD sets each is compared with PARTNERS others, drawn anew each round.
+#: They go on while a set has over DENSE candidates left on average and one pair in YIELD compared is a link.
+CROWD, PARTNERS, DENSE, ROUNDS, YIELD = 64, 8, 4, 12, 50
+#: One set in ASKED tells how many candidates are left.
+ASKED = 64
 #: One document in SAMPLE tells which shingles are common; at most COMMON of them are broadcast.
 SAMPLE, COMMON = 8, 1 << 18
 
@@ -416,25 +421,57 @@ def jaccard_links(reps: DataFrame, near: tuple[int, int] = NEAR, tau: int = 2) -
 
     First come the pairs that the fingerprints' pigeonhole search finds. Sets that share a shingle of their prefixes are
     the only others that can be near; a set meets the two before it and the first of a bucket, which holds groups of near
-    copies together by rows in proportion to their size. All these are verified by exact similarity. Then all pairs of
-    a bucket that the links leave in different components are verified, so every near pair is linked or connected.
+    copies together by rows in proportion to their size. All these are verified by exact similarity. Where buckets still
+    hold sets of different components, rounds of few comparisons a set merge more of them. Then all pairs of a bucket that
+    the links leave in different components are verified, so every near pair is linked or connected.
     """
     bucket = W.partitionBy("token").orderBy("n", "rep")
     me = F.struct("rep", "n", "at")
     rows = prefixes(reps, near).select("*", F.lag(me, 1).over(bucket).alias("p1"), F.lag(me, 2).over(bucket).alias("p2"), F.first(me).over(bucket).alias("p0"), F.lead("rep", 1).over(bucket).alias("next"))
     rows = materialize(rows.where("p1 is not null or next is not null").drop("next"))
     star = rows.select(F.struct("rep", "n", "at").alias("x"), F.explode(F.array("p0", "p1", "p2")).alias("y")).where("y is not null and x.rep <> y.rep")
-    star = star.where(_possible("x", "y", near)).select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b"))
-    tried = materialize(_pairs_by_fingerprint(reps, tau).unionByName(star).distinct())
-    first = materialize(verified(tried, reps, near))
-    named = materialize(connected_components(first))
-    rows = rows.select("token", "rep", "n", "at").join(named, F.col("rep") == F.col("node"), "left").withColumn("c", F.coalesce("component", "rep")).drop("node", "component")
+    tried = materialize(_pairs_by_fingerprint(reps, tau).unionByName(_candidates(star, near)).distinct())
+    found = materialize(verified(tried, reps, near))
+    rows, left = _unsettled(rows.select("token", "rep", "n", "at"), found, near)
+    for k in range(ROUNDS):
+        if left <= DENSE:
+            break
+        crowd = rows.join(rows.groupBy("token").count().where(F.col("count") > CROWD).select("token"), "token", "left_semi")
+        drawn = W.partitionBy("token").orderBy(F.xxhash64("token", "rep", F.lit(k)), "rep").rowsBetween(-PARTNERS, -1)
+        others = crowd.select(F.struct("rep", "n", "at", "c").alias("x"), F.collect_list(F.struct("rep", "n", "at", "c")).over(drawn).alias("ys"))
+        met = others.select("x", F.explode(F.filter("ys", lambda y: y["c"] != F.col("x.c"))).alias("y"))
+        new = materialize(_candidates(met, near).distinct().join(tried, ["a", "b"], "left_anti"))
+        more = materialize(verified(new, reps, near))
+        n_new, n_more = new.count(), more.count()
+        tried, found = tried.unionByName(new), found.unionByName(more)
+        if n_more:
+            rows, left = _unsettled(rows.drop("c"), found, near)
+        if n_more * YIELD <= n_new:
+            break
+    rest = _all_pairs(rows, rows, near).where("x.rep > y.rep").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    rest = materialize(rest.join(tried, ["a", "b"], "left_anti"))
+    return found.unionByName(verified(rest, reps, near))
+
+
+def _all_pairs(left: DataFrame, right: DataFrame, near: tuple[int, int]) -> DataFrame:
+    """Pairs x, y of rows of a bucket that are in different components and can be near."""
+    return left.alias("x").join(right.alias("y"), on=(F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c")) & _possible("x", "y", near))
+
+
+def _candidates(met: DataFrame, near: tuple[int, int]) -> DataFrame:
+    """(a, b), a > b, of pairs (x, y) of sets that can be near."""
+    return met.where(_possible("x", "y", near)).select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b"))
+
+
+def _unsettled(rows: DataFrame, links: DataFrame, near: tuple[int, int]) -> tuple[DataFrame, float]:
+    """The rows of buckets that hold sets of different components, with the component ``c``, and how many partners a set has there, on average over some."""
+    named = materialize(connected_components(links))
+    rows = rows.join(named, F.col("rep") == F.col("node"), "left").withColumn("c", F.coalesce("component", "rep")).drop("node", "component")
     mixed = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
     rows = materialize(rows.join(mixed, "token", "left_semi"))
-    pair = (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") > F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & _possible("x", "y", near)
-    rest = rows.alias("x").join(rows.alias("y"), on=pair).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    rest = materialize(rest.join(tried, ["a", "b"], "left_anti"))
-    return first.unionByName(verified(rest, reps, near))
+    some = rows.where(F.pmod(F.xxhash64("rep", F.lit(-1)), F.lit(ASKED)) == 0)
+    partners = _all_pairs(some, rows, near).select("x.rep", F.col("y.rep").alias("other")).distinct().count()
+    return rows, partners / max(1, some.select("rep").distinct().count())
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, near: tuple[int, int]) -> DataFrame:
@@ -467,7 +504,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     one stays. Null and empty texts are copies of each other. Rows without an id all stay. Texts of any length
     count whole, ties go to the row that was read first, an empty table stays empty, and other columns may have any name.
     """
-    found = materialize(_grouped(docs, id_col, text_col, shingle, near))
+    with scratch():
+        found = Shared(_grouped(docs, id_col, text_col, shingle, near), result=True).df
     kept = (F.col("id") == F.col("keep.id")) & (F.col("md5") == F.col("keep.md5"))
     gone = found.where(~kept).select("id", "md5").distinct()
     twice = materialize(found.where(kept & (F.col("node") != F.col("keep.node"))).select("id", "md5").distinct())
