@@ -65,3 +65,32 @@ def test_dense_groups_and_odd_texts(spark):
     df = spark.createDataFrame(rows, DDL)
     assert sorted(str(r["doc_id"]) for r in simhash.keep_one(df).collect()) == sorted(["0", "200", "202", "204", "None"])
     assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def hostile(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, and columns that operators use as names of their own."""
+    names = ["id", "md5", "node", "position", "__id", "__times", "__copy", "__gone", "__block", "t", "size", "shard"]
+    rnd = random.Random(2)
+    text = lambda n: " ".join(rnd.choice("abcdefgh") * rnd.randint(1, 6) for _ in range(n))
+    rows = [(i, text(80), "en", f"s{i % 2}", 1) for i in range(40)] + [(None, text(50), None, None, None), (41, None, None, "s1", 0), (42, "", "en", None, 0), (43, "long " * 60_000, "en", "s0", 1)]
+    rows += [rows[3]] * 5 + [(7, text(60), "de", "s1", 1)]
+    return spark.createDataFrame([(*r, *names) for r in rows], ", ".join([DDL, *(f"`{n}` string" for n in names)])), len(rows)
+
+
+def test_every_stage_takes_hostile_and_empty_tables(spark, tmp_path):
+    docs, n = hostile(spark)
+    d = str(tmp_path)
+    spark.createDataFrame([(i, int(i % 2), 0) for i in range(30)] + [(None, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(0, None), (None, "x"), (1, ""), (2, "nothing of this is in any of the texts at all, nor near")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, d)
+        rows, none = out.count(), stage(spark, docs.limit(0), d)
+        assert none.count() == 0 and none.columns == out.columns
+        if name != "shard":
+            assert out.columns == docs.columns
+        if name in ("decontaminate", "shard"):
+            assert rows == n
+        if name == "near_dedup":
+            assert rows == n - 6  # five repeats, and one of the two texts without words
+    docs.write.parquet(f"{d}/documents.parquet")
+    assert corpus_pipeline.run(spark, d).count() > 0

@@ -152,7 +152,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` whose text holds no passage of any test item, columns as they are, without a shuffle."""
+    """The rows of ``docs`` whose text holds no passage of any test item, columns as they are, without a shuffle.
+
+    Null and empty texts hold nothing and stay; texts of any length are searched whole; each row is judged by itself, so ids
+    may be null and rows that repeat stay or go together. Items below SHORTEST characters, or null, are not searched;
+    repeated items count once; an empty benchmark keeps all, an empty table stays empty. Columns may have any name.
+    """
     sc = docs.sparkSession.sparkContext
     out = docs
     for block in _blocks(benchmark, item_col, item_text, block_bytes):

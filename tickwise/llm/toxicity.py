@@ -185,9 +185,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn=None,
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every row, 0 to 1. A text without words, or null, scores the share of toxic labels, below 0.5; repeated rows stay.
+    """(id, score) of every row, 0 to 1. A text without words, or null, scores the share of toxic labels, below 0.5.
 
-    The model is one float a table row, broadcast; its size does not depend on the data.
+    Texts and words of any length count whole; repeated rows and null ids stay, an empty table gives no rows, and other
+    columns, whatever their names, are ignored. The model is one float a table row, broadcast; its size does not depend on the data.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
