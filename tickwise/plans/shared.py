@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: str | None = None
 _session_dirs: dict[str, str] = {}
+_scopes: list[list[Shared]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,11 +49,24 @@ def session_dir(spark: SparkSession) -> str:
     return _session_dirs[f"{shared} {app}"]
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written inside go at the end, but for those that a ``Shared`` with ``result`` holds: for steps with one small result."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for t in _scopes.pop():
+            t.drop()
+
+
 class Shared:
     """A table written to the shared folder, with the DataFrame that reads it back."""
 
-    def __init__(self, df: DataFrame, keep: bool = False):
+    def __init__(self, df: DataFrame, keep: bool = False, result: bool = False):
         self.spark = df.sparkSession
+        if _scopes and not keep and not result:
+            _scopes[-1].append(self)
         self.path = f"{shared_dir(self.spark) if keep else session_dir(self.spark)}/t-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
