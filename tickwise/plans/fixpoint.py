@@ -98,6 +98,7 @@ class Known:
     def __init__(self, relation: Relation):
         self.relation = relation
         self.levels: list[list[Bucketed]] = [[]]
+        self.rows = 0
 
     def _keyed(self, rows: DataFrame) -> DataFrame:
         key = self.relation.key
@@ -116,10 +117,12 @@ class Known:
             keyed = keyed.distinct()
             for t in self.tables():
                 keyed = keyed.join(t.df, "__key", "left_anti")
-        fresh = Bucketed(keyed)
-        if fresh.plain.isEmpty():
+        fresh = Bucketed(keyed, self.rows)
+        new = fresh.plain.count()
+        if not new:
             fresh.drop()
             return None
+        self.rows += new
         self.levels[0].append(fresh)
         self._compact()
         return self._shown(fresh.plain)
@@ -148,7 +151,7 @@ class Known:
                     rows = rows.groupBy("__key").agg(*[lattice_join(kind)(F.col(c)).alias(c) for c, kind in self.relation.lattice.items()])
                 if i + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[i + 1].append(Bucketed(rows))
+                self.levels[i + 1].append(Bucketed(rows, self.rows))
                 for t in level:
                     t.forget()
                 self.levels[i] = []

@@ -14,6 +14,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a bucket, about.
+BUCKET_ROWS = 50_000
+
 _local_dir: str | None = None
 _session_dirs: dict[str, str] = {}
 _scopes: list[list[Shared]] = []
@@ -91,10 +94,11 @@ class Bucketed:
     catalogue is only for that; ``forget`` drops it and leaves the files, which ``plain`` reads.
     """
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, rows: int = 0):
+        """``rows`` is about how many there will be: there are as many buckets as shuffle partitions, or fewer for a small table."""
         self.spark = df.sparkSession
         self.path, self.name = f"{session_dir(self.spark)}/t-{uuid.uuid4().hex}", f"tickwise_{uuid.uuid4().hex}"
-        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), max(8, 1 << (rows // BUCKET_ROWS).bit_length()))
         df.write.bucketBy(buckets, "__key").option("path", self.path).format("parquet").saveAsTable(self.name)
         self.df, self.plain = self.spark.table(self.name), self.spark.read.schema(df.schema).parquet(self.path)
 
