@@ -14,6 +14,7 @@ from tickwise.functions import scalar as S
 from tickwise.operators import choice, joins
 from tickwise.plans.lattice import Lattice
 from tickwise.plans.rules import Agg, Any_, Atom, Const, Each, Expr, Fold, Guard, Let, Lookup, Not, Parts, Relation, Rule, Some, block, keys_of, member
+from tickwise.plans.shared import materialize
 from tickwise.plans.ticks import Table, Tick, Ticks
 from tickwise.sources import config
 
@@ -176,7 +177,7 @@ def change_subscription(spark, d):
     """How many users each tick adds to a table, as its watcher saw them."""
     ticks = Ticks(spark, [Table("seen", "u long")], lambda t: t.insert("seen", t.events["ev"].select(F.col("user_id").alias("u"))))
     gained: list[DataFrame] = []
-    ticks.watch("seen", lambda n, more, _: gained.append(more.agg(F.lit(n).cast("bigint").alias("tick"), F.count("*").alias("gained"))))
+    ticks.watch("seen", lambda n, more, _: gained.append(materialize(more.agg(F.lit(n).cast("bigint").alias("tick"), F.count("*").alias("gained")))))
     ticks.run(_script(spark, d))
     return reduce(DataFrame.unionByName, gained)
 
