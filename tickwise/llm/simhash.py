@@ -391,21 +391,26 @@ def _possible(x: str, y: str, near: tuple[int, int]):
 def verified(pairs: DataFrame, reps: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
     """The pairs (a, b) whose shingle sets are near, by exact count."""
 
-    def step(batches):
-        for b in batches:
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # the sets are read where Arrow holds them
+            a, b, xs, ys = batch.columns
             keep = []
-            for k, (x, y) in enumerate(zip(b["x"], b["y"])):
-                both = np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).size
-                if both * (near[0] + near[1]) >= (len(x) // 8 + len(y) // 8) * near[0]:
+            for k in range(batch.num_rows):
+                x, y = (np.frombuffer(v[k].as_buffer(), np.uint64) for v in (xs, ys))
+                both = np.intersect1d(x, y, assume_unique=True).size
+                if both * (near[0] + near[1]) >= (len(x) + len(y)) * near[0]:
                     keep.append(k)
-            yield {"a": [b["a"][k] for k in keep], "b": [b["b"][k] for k in keep]}
+            yield pa.RecordBatch.from_arrays([a.take(pa.array(keep, pa.int64())), b.take(pa.array(keep, pa.int64()))], schema=schema)
 
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
     # only the sets of the pairs are moved
     own = reps.select("rep", "set").join(few, "rep", "left_semi")
     left, right = own.select(F.col("rep").alias("a"), F.col("set").alias("x")), own.select(F.col("rep").alias("b"), F.col("set").alias("y"))
-    return map_columns(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), step, "a long, b long").distinct()
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(step, "a long, b long").distinct()
 
 
 def _pairs_by_fingerprint(reps: DataFrame, tau: int) -> DataFrame:
