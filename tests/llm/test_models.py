@@ -56,3 +56,12 @@ def test_quality_held_out(spark):
 
 def test_toxicity_held_out_with_unseen_spellings(spark):
     check(spark, toxicity, 1, "toxic")
+
+
+def test_long_words_pass_in_pieces(monkeypatch):
+    word = bytes(97 + k * k % 23 for k in range(300))
+    whole = sorted(set(toxicity.subwords(word)))
+    monkeypatch.setattr(toxicity, "LONG_WORD", 7)
+    assert toxicity.subwords(word) == whole
+    monkeypatch.setattr(toxicity, "LONG_WORD", 10_000)
+    assert len(toxicity.subwords(bytes(97 + k * k % 23 for k in range(50_000)))) <= toxicity.BUCKETS
